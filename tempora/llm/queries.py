@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm.common import table
+from tempora.llm.licenses import oracle as licenses_oracle
+from tempora.llm.licenses import scan_licenses
 from tempora.llm.sharding import shard_rows
+from tempora.llm.wordpiece import count_tokens
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op5_licenses": op5_licenses,
+    "op6_token_counts": op6_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_licenses": licenses_oracle(),
+}
