@@ -8,9 +8,14 @@ from tempora.llm.common import table
 from tempora.llm.licenses import oracle as licenses_oracle
 from tempora.llm.licenses import scan_licenses
 from tempora.llm.sharding import shard_rows
+from tempora.llm.toxicity import score_toxicity
 from tempora.llm.wordpiece import count_tokens
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_sharding": op4_sharding,
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
