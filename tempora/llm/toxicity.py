@@ -209,10 +209,11 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(sample: DataFrame, model_of, *, width: int = 4096, least: int = 5) -> dict[str, float]:
-    """Fit a sparse logistic model on (text, toxic): feature -> weight, "" -> intercept.
+def fit(sample: DataFrame, model_of, *, width: int = 4096, least: int = 5) -> dict[str, tuple[float, float]]:
+    """Fit a sparse logistic model on (text, toxic): feature -> (weight, logit when it stands alone), "" -> intercept.
 
-    The `width` features with the largest likelihood ratio enter; an L1 penalty leaves few of them.
+    The `width` features with the largest likelihood ratio enter; an L1 penalty leaves few of them. Signs of toxicity
+    come together in the sample, so weights alone underrate a text with one sign: its own smoothed odds are kept too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,18 +229,21 @@ def fit(sample: DataFrame, model_of, *, width: int = 4096, least: int = 5) -> di
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         rows.unpersist()
-        return {"": 4.0 if n1 and not n0 else -4.0}
+        return {"": (4.0 if n1 and not n0 else -4.0, 0.0)}
     a, b = F.col("a"), F.col("b")
     ratio = lambda x, m: F.when(x > 0, x * F.log(x * (n1 + n0) / ((a + b) * m))).otherwise(0.0)
     counted = rows.select(F.explode("f").alias("w"), "toxic").groupBy("w").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     top = counted.where(a + b >= least).where(a * n0 > 2 * b * n1).withColumn("g", ratio(a, n1) + ratio(b, n0)).where("g > 12")
-    names = [r.w for r in top.orderBy(F.desc("g"), "w").limit(width).select("w").collect()]
+    rare = max(6.0, 0.003 * n0)
+    # Only a sign that 19 of 20 texts with it bear out may decide alone.
+    alone = {r.w: math.log((r.a + 0.5) / (r.b + rare)) if r.a >= 19 * (r.b + 1) else -30.0 for r in top.orderBy(F.desc("g"), "w").limit(width).collect()}
+    names = list(alone)
     index = {w: i for i, w in enumerate(names)}
     kept = F.filter("f", lambda w: w.isin(names)) if len(names) <= 64 else F.array_intersect("f", F.lit(names))
     data = [([index[w] for w in r.f], r.toxic) for r in rows.select(kept.alias("f"), "toxic", "id").orderBy("id").collect()]
     rows.unpersist()
     *weights, bias = _logistic(data, len(names))
-    return dict(zip(names, weights, strict=True)) | {"": bias}
+    return {n: (w, alone[n]) for n, w in zip(names, weights, strict=True) if w} | {"": (bias, 0.0)}
 
 
 def _logistic(data: list[tuple[list[int], int]], width: int, penalty: float = 1.5e-3, rows: float = 4.0) -> list[float]:
@@ -289,26 +293,24 @@ def score_toxicity(
     known = known.where(~held_out("_key"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)
     sample = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_key").select("text", "toxic")
-    weights = fit(sample, model_of)
-    shared = spark.sparkContext.broadcast(weights)  # at most `width` features
+    shared = spark.sparkContext.broadcast(fit(sample, model_of))  # at most `width` features
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, w = Restorer(model_of()), shared.value
-        bias = w[""]
-        lengths = sorted({len(x) - 1 for x in w if x.endswith("*")})
-        heads = {k: {x[:-1]: v for x, v in w.items() if v and x.endswith("*") and len(x) == k + 1} for k in lengths}
-        heads = {k: v for k, v in heads.items() if v}
-        whole = {x: v for x, v in w.items() if v and x and not x.endswith("*")}
+        restorer, weights = Restorer(model_of()), dict(shared.value)
+        bias, _ = weights.pop("")
+        lengths = sorted({len(x) - 1 for x in weights if x.endswith("*")})
         for b in batches:
             scores, sizes = [], []
             for t in b.column(1).to_pylist():
                 words = restorer.words(t)
                 seen = set(words)
-                s = bias + sum(whole[x] for x in sorted(seen & whole.keys()))
-                for k, table in heads.items():
-                    s += sum(table[x] for x in sorted({x[:k] for x in seen if len(x) > k} & table.keys()))
+                hits = seen & weights.keys()
+                for k in lengths:
+                    hits |= {x[:k] + "*" for x in seen if len(x) > k} & weights.keys()
+                found = [weights[x] for x in sorted(hits)]
+                s = max([bias + sum(w for w, _ in found), *(one for _, one in found)])
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
                 sizes.append(len(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], ["_key", "score", "n_restored"])
