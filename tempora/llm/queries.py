@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tempora.llm.common import table
 from tempora.llm.licenses import oracle as licenses_oracle
 from tempora.llm.licenses import scan_licenses
+from tempora.llm.pieces import encode_texts
 from tempora.llm.sharding import shard_rows
 from tempora.llm.toxicity import score_toxicity
 from tempora.llm.wordpiece import count_tokens
@@ -28,11 +30,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.round("score", 3).alias("score"), "round_trip")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_sharding": op4_sharding,
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
