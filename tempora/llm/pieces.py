@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,14 @@ SCALE = 1 << 16
 #: A cost is (negative log probability) << TIE, plus a number that depends on where pieces end: equal scores are told
 #: apart by it, in the same way however a text is split.
 TIE = 44
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 BLOCK = 64  # chunks whose matrices are combined in one step
 
-_UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: No piece joins Latin letters to anything but blanks before them, goes on after a blank or holds a line end: a unit
+#: is what lies between such places. It is checked when a model is loaded.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_UNIT = re.compile(f"\n|{SPACE}*[{LETTERS}]+|{SPACE}*[^{SPACE}\n{LETTERS}]+|{SPACE}+")
+_LETTER = re.compile(f"[{LETTERS}]")
 
 
 def tie(at: int) -> int:
@@ -41,6 +47,9 @@ def tie(at: int) -> int:
     return (at * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 44
 
 
+_TIES = [tie(i) for i in range(4096)]
+
+
 class Pieces:
     """The pieces of a model file. Its own scores rank merges; the probability of a piece follows Zipf's law by rank."""
 
@@ -62,7 +71,7 @@ class Pieces:
             if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.bytes_of.append(b"")
                 continue
-            if "\n" in piece or SPACE in piece.lstrip(SPACE):
+            if len(_UNIT.findall(piece)) != 1:
                 raise ValueError(f"piece {piece!r} spans two units")
             self.bytes_of.append(piece.encode())
             self.width = max(self.width, len(piece))
@@ -71,26 +80,34 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[""] = (round(math.log(i + 2) * SCALE) << TIE, np.int32(i).tobytes())
         self.unknown = round((math.log(size + 1) + 10) * SCALE) << TIE
+        self.single = {c for c, node in self.trie.items() if "" in node}
         self.known: dict[str, tuple[int, bytes]] = {}
 
-    def forward(self, s: str, a: int, rel: int, n: int, stop: int) -> tuple[dict[int, int], dict[int, tuple[int, bytes]]]:
-        """Least costs from position a of s; pieces start before n and end by `stop`. rel: a's place in its unit."""
-        best, back = {a: 0}, {}
-        for i in range(a, n):
-            if (spent := best.get(i)) is None:
+    def forward(self, s: str, a: int, rel: int, n: int, stop: int) -> tuple[list[int | None], list]:
+        """Least costs from position a of s, and how they are reached; pieces start before n and end by `stop`.
+
+        Lists start at a; rel is a's place in its unit.
+        """
+        s, n = s[a:stop], min(n, stop) - a
+        size, trie, best, back = len(s), self.trie, [None] * (len(s) + 1), [None] * (len(s) + 1)
+        ties = _TIES[rel : rel + size + 1] if rel + size < len(_TIES) else [tie(rel + i) for i in range(size + 1)]
+        best[0] = 0
+        for i in range(n):
+            if (spent := best[i]) is None:
                 continue
-            node, single = self.trie, False
-            for j in range(i, stop):
+            node, j = trie, i
+            while j < size:
                 if (node := node.get(s[j])) is None:
                     break
-                if (end := node.get("")) is not None:
-                    single |= j == i
-                    cost = spent + end[0] + tie(rel + j + 1 - a)
-                    if (old := best.get(j + 1)) is None or cost < old:
-                        best[j + 1], back[j + 1] = cost, (i, end[1])
-            if not single:
-                cost = spent + self.unknown + tie(rel + i + 1 - a)
-                if (old := best.get(i + 1)) is None or cost < old:
+                j += 1
+                if "" in node:
+                    cost, ids = node[""]
+                    cost += spent + ties[j]
+                    if (old := best[j]) is None or cost < old:
+                        best[j], back[j] = cost, (i, ids)
+            if s[i] not in self.single:
+                cost = spent + self.unknown + ties[i + 1]
+                if (old := best[i + 1]) is None or cost < old:
                     ids = [self.byte_id[b] for b in s[i].encode("utf-8", "surrogatepass")]
                     best[i + 1], back[i + 1] = cost, (i, np.array(ids, np.int32).tobytes())
         return best, back
@@ -98,11 +115,12 @@ class Pieces:
     def span(self, s: str, a: int, b: int, rel: int, n: int) -> tuple[int, bytes]:
         """(cost, ids) of the best path from a to b."""
         best, back = self.forward(s, a, rel, n, b)
-        at, out = b, []
-        while at > a:
+        at, out = b - a, []
+        while at:
             at, ids = back[at]
             out.append(ids)
-        return best[b], b"".join(reversed(out))
+        out.reverse()
+        return best[-1], b"".join(out)
 
     def unit(self, u: str) -> tuple[int, bytes]:
         if (got := self.known.get(u)) is None:
@@ -115,14 +133,23 @@ class Pieces:
 
     def encode(self, s: str) -> tuple[int, bytes]:
         """(cost, ids) of a whole text: no piece spans two units, so the best paths of units add up."""
-        got = [self.unit(u) for u in _UNIT.findall(s)]
-        return sum(c for c, _ in got), b"".join(ids for _, ids in got)
+        known, unit = self.known.get, self.unit
+        got = [known(u) or unit(u) for u in _UNIT.findall(s)]
+        return sum([g[0] for g in got]), b"".join([g[1] for g in got])
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
         return b"".join([table[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode("utf-8", "replace")
 
 
+def loaded(path: str) -> Pieces:
+    """The pieces of a model, kept by the worker process: what it remembers serves its later tasks too."""
+    kept = sys.modules.setdefault("_tempora_pieces", types.ModuleType("_tempora_pieces")).__dict__
+    if path not in kept:
+        kept[path] = Pieces(path)
+    return kept[path]
+
+
 def normalise(text: str | None) -> str:
     """The form that is encoded: blanks visible, one in front. An empty text stays empty."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -134,7 +161,12 @@ def restore(s: str) -> str:
 
 def forced(s: str, p: int) -> bool:
     """Whether every path has a piece boundary at p: the edges of units."""
-    return p <= 0 or p >= len(s) or s[p] == "\n" or s[p - 1] == "\n" or (s[p] == SPACE and s[p - 1] != SPACE)
+    if p <= 0 or p >= len(s):
+        return True
+    a, b = s[p - 1], s[p]
+    if a == "\n" or b == "\n" or a == SPACE or b == SPACE:
+        return a == "\n" or b == "\n" or a != SPACE
+    return (_LETTER.match(a) is None) != (_LETTER.match(b) is None)
 
 
 def split(s: str, size: int, width: int) -> Iterator[tuple[int, str, int, int]]:
@@ -168,11 +200,13 @@ def transfer(pieces: Pieces, s: str, n: int, rel: int) -> dict[tuple[int, int],
         out = {}
         for i in range(min(pieces.width, n)):
             best, _ = pieces.forward(s, i, rel + i, n, stop)
-            out |= {(i, p - n): c for p, c in best.items() if p >= n}
+            out |= {(i, p): c for p, c in enumerate(best[n - i :]) if c is not None}
         return out | {(i, i - n): 0 for i in range(n, pieces.width)}
-    head = {0: 0} if first == 0 else {i: c for i in range(min(pieces.width - 1, first) + 1) if (c := pieces.forward(s, i, rel + i, first, first)[0].get(first)) is not None}
+    head = {0: 0}
+    if first:
+        head = {i: c for i in range(min(pieces.width - 1, first) + 1) if (c := pieces.forward(s, i, rel + i, first, first)[0][-1]) is not None}
     middle = pieces.encode(s[first:last])[0]
-    tail = {0: 0} if last == n else {p - n: c for p, c in pieces.forward(s, last, 0, n, stop)[0].items() if p >= n}
+    tail = {0: 0} if last == n else {p: c for p, c in enumerate(pieces.forward(s, last, 0, n, stop)[0][n - last :]) if c is not None}
     return {(i, j): h + middle + t for i, h in head.items() for j, t in tail.items()}
 
 
@@ -239,7 +273,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
     long = F.coalesce(F.length("_text"), F.lit(0)) >= chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for b in batches:
             got, same = [], []
             for t in b.column(1).to_pylist():
@@ -257,14 +291,14 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
     giant = materialize(rows.where(long).withColumn("_row", F.monotonically_increasing_id()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for b in batches:
             for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, s, n, rel in split(normalise(t), chunk, pieces.width):
                     yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), pa.array([s]), pa.array([n]), pa.array([rel])], ["_row", "k", "s", "n", "rel"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for b in batches:
             made = [pickle.dumps(transfer(pieces, s, n, rel)) for s, n, rel in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["_row", "k", "m"])
@@ -287,7 +321,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
         return pd.DataFrame({"_row": pdf._row, "k": pdf.k, "entry": path[:-1], "leave": path[1:]})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for b in batches:
             ids, same, costs = [], [], []
             for s, n, rel, i, j in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5, 6)), strict=True):
@@ -328,7 +362,7 @@ def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", mod
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for b in batches:
             texts = [None if x is None else restore(pieces.decode(np.array(x, np.int32).tobytes())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_key", "text"])
