@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.llm.chat import ORACLE as CHAT_ORACLE
+from tempora.llm.chat import format_chats
 from tempora.llm.common import table
 from tempora.llm.licenses import oracle as licenses_oracle
 from tempora.llm.licenses import scan_licenses
 from tempora.llm.pieces import encode_texts
 from tempora.llm.sharding import shard_rows
+from tempora.llm.templates import ORACLE as TEMPLATES_ORACLE
+from tempora.llm.templates import find_leaks
 from tempora.llm.toxicity import score_toxicity
 from tempora.llm.wordpiece import count_tokens
 
@@ -18,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_texts(table(spark, sf_dir, "documents"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.round("score", 3).alias("score"), "round_trip")
@@ -37,12 +49,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
+    "op7_chat_formatting": op7_chat_formatting,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
+    "op3_decontamination": TEMPLATES_ORACLE,
+    "op7_chat_formatting": CHAT_ORACLE,
     "op5_licenses": licenses_oracle(),
 }
