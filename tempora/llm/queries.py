@@ -10,6 +10,7 @@ from tempora.llm.chat import format_chats
 from tempora.llm.common import table
 from tempora.llm.licenses import oracle as licenses_oracle
 from tempora.llm.licenses import scan_licenses
+from tempora.llm.nearjoin import jaccard_join
 from tempora.llm.pieces import encode_texts
 from tempora.llm.sharding import shard_rows
 from tempora.llm.templates import ORACLE as TEMPLATES_ORACLE
@@ -42,6 +43,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_texts(table(spark, sf_dir, "documents"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.round("score", 3).alias("score"), "round_trip")
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
