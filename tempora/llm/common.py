@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 FALLBACK_DIR = "/tmp/checkpoints/tempora"
@@ -40,5 +41,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+def by_few(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialize, ship
+from tempora.llm.common import by_few, materialize, ship
 
 ship(__name__)
 
@@ -32,7 +32,7 @@ SCALE = 1 << 16
 #: A cost is (negative log probability) << TIE, plus a number that depends on where pieces end: equal scores are told
 #: apart by it, in the same way however a text is split.
 TIE = 44
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 BLOCK = 64  # chunks whose matrices are combined in one step
 
 #: No piece joins Latin letters to anything but blanks before them, goes on after a blank or holds a line end: a unit
@@ -274,7 +274,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in batches:
+        for b in by_few(batches):
             got, same = [], []
             for t in b.column(1).to_pylist():
                 s = normalise(t)
@@ -292,14 +292,14 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in batches:
+        for b in by_few(batches):
             for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, s, n, rel in split(normalise(t), chunk, pieces.width):
                     yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), pa.array([s]), pa.array([n]), pa.array([rel])], ["_row", "k", "s", "n", "rel"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in batches:
+        for b in by_few(batches):
             made = [pickle.dumps(transfer(pieces, s, n, rel)) for s, n, rel in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["_row", "k", "m"])
 
@@ -322,7 +322,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in batches:
+        for b in by_few(batches):
             ids, same, costs = [], [], []
             for s, n, rel, i, j in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5, 6)), strict=True):
                 ids.append(trace(pieces, s, n, rel, i, j))
@@ -363,7 +363,7 @@ def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in batches:
+        for b in by_few(batches):
             texts = [None if x is None else restore(pieces.decode(np.array(x, np.int32).tobytes())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_key", "text"])
 
