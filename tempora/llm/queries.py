@@ -11,6 +11,7 @@ from tempora.llm.common import table
 from tempora.llm.licenses import oracle as licenses_oracle
 from tempora.llm.licenses import scan_licenses
 from tempora.llm.nearjoin import jaccard_join
+from tempora.llm.passages import find_passages
 from tempora.llm.pieces import encode_texts
 from tempora.llm.sharding import shard_rows
 from tempora.llm.templates import ORACLE as TEMPLATES_ORACLE
@@ -23,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +59,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op5_licenses": op5_licenses,
