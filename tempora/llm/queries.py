@@ -10,6 +10,7 @@ from tempora.llm.chat import format_chats
 from tempora.llm.common import table
 from tempora.llm.licenses import oracle as licenses_oracle
 from tempora.llm.licenses import scan_licenses
+from tempora.llm.multiindex import near_vectors
 from tempora.llm.nearjoin import jaccard_join
 from tempora.llm.passages import find_passages
 from tempora.llm.pieces import encode_texts
@@ -48,6 +49,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
