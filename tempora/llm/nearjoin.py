@@ -138,11 +138,11 @@ def jaccard_join(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
     bands: int = BANDS, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """Group documents by links of Jaccard similarity >= threshold: (key, class_id, n_links, kept).
+    """Group documents by links of Jaccard similarity >= threshold: (key, class_id, n_links, kept, text_hash).
 
     One row for each row of `docs`. `n_links` counts the other documents it is linked to directly, exact copies
-    included; `class_id` is the smallest key reachable by links; `kept` marks one row of each class, that with the
-    smallest key (rows that repeat this key and its shingles share the mark). Shingles are runs of five words without case; a shorter text is one shingle. Texts without
+    included; `class_id` is the smallest key reachable by links; `kept` marks one text of each class, that with the
+    smallest key (rows that repeat key and text share the mark); `text_hash` tells rows of one key apart. Shingles are runs of five words without case; a shorter text is one shingle. Texts without
     words (null and empty ones too) have no links and stay; their class is their own key. Rows with null keys take part;
     a class of null keys only has a null class id. An empty table gives none. Only the two named columns are read.
     """
@@ -175,7 +175,7 @@ def jaccard_join(
     marks = materialize(source.mapInArrow(sign, f"_key {kind}, _tv long, _node binary, _n long, _cells array<long>"))
     named = marks.where("_node is not null").groupBy("_node").agg(
         F.count(F.lit(1)).alias("_copies"), F.min("_key").alias("_least"), F.first("_n").alias("_n"),
-        F.min(F.struct("_key", "_tv")).alias("_one"), F.first("_cells").alias("_cells"),
+        F.min(F.struct(F.col("_key").isNull(), "_key", "_tv")).alias("_one"), F.first("_cells").alias("_cells"),
     )
     nodes = materialize(named.withColumn("_id", F.monotonically_increasing_id()))
 
@@ -214,17 +214,18 @@ def jaccard_join(
     found = materialize(dealt.mapInArrow(compare, "id long, links long, root long"))
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("_links")).withColumnRenamed("id", "_lid")
-    member = nodes.select("_id", "_node", "_copies", "_least").join(classes, F.col("_id") == F.col("id"), "left").join(links, F.col("_id") == F.col("_lid"), "left")
+    member = nodes.select("_id", "_node", "_copies", "_least", "_one").join(classes, F.col("_id") == F.col("id"), "left").join(links, F.col("_id") == F.col("_lid"), "left")
     member = member.withColumn("_class", F.coalesce("component", "_id"))
     heads = member.groupBy("_class").agg(F.min("_least").alias("_head"), F.min(F.struct(F.col("_least").isNull(), "_least", "_id")).alias("_best"))
-    member = member.join(heads, "_class").select("_node", "_head", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), (F.col("_best._id") == F.col("_id")).alias("_first"))
+    member = member.join(heads, "_class").select("_node", "_head", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_one", (F.col("_best._id") == F.col("_id")).alias("_first"))
     member = member.withColumnRenamed("_node", "_member")
-    rows_out = marks.select("_key", "_node").join(member, F.col("_node") == F.col("_member"), "left")
+    rows_out = marks.select("_key", "_tv", "_node").join(member, F.col("_node") == F.col("_member"), "left")
     return rows_out.select(
         F.col("_key").alias(key),
         F.when(F.col("_node").isNull(), F.col("_key")).otherwise(F.col("_head")).alias("class_id"),
         F.coalesce("_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("_node").isNull(), True).otherwise(F.col("_first") & F.col("_key").eqNullSafe(F.col("_head"))).alias("kept"),
+        F.when(F.col("_node").isNull(), True).otherwise(F.col("_first") & F.col("_key").eqNullSafe(F.col("_one._key")) & (F.col("_tv") == F.col("_one._tv"))).alias("kept"),
+        F.col("_tv").alias("text_hash"),
     )
 
 
