@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 FALLBACK_DIR = "/tmp/checkpoints/tempora"
@@ -41,6 +42,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a membership filter: one megabyte, whatever the data's size.
+FILTER_BITS = 1 << 23
+
+
+def may_hold(wanted: DataFrame, hashes: str) -> Callable[[Column], Column]:
+    """A test for hashes that is true for all in `wanted` and false for most others.
+
+    It is a bit map of fixed size in the plan: what it lets through needs a join still, but wide rows that are not
+    wanted never enter a shuffle. The more there are in `wanted`, the more it lets through; results do not depend on it.
+    """
+    at = F.pmod(F.col(hashes), F.lit(FILTER_BITS))
+    words = wanted.select(at.alias("_at")).groupBy((F.col("_at") / 64).cast("int").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_at % 64 AS INT))")).alias("_bits"))
+    bits = bytearray(FILTER_BITS // 8)
+    for r in words.collect():  # FILTER_BITS / 64 rows at most
+        bits[8 * r._w : 8 * r._w + 8] = (r._bits & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+
+    def test(h: Column) -> Column:
+        spot = F.pmod(h, F.lit(FILTER_BITS))
+        byte = F.conv(F.hex(F.substring(F.lit(bits), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (spot % 8).cast("int")) == 1
+
+    return test
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: Column, hashes: str = "_h") -> DataFrame:
+    """The rows whose hash column `key` is not in dropped[hashes]; rows far from all of them skip the shuffle."""
+    dropped = materialize(dropped.select(hashes).distinct())
+    test = may_hold(dropped, hashes)
+    near = rows.where(test(key)).withColumn("_own", key).join(dropped.withColumnRenamed(hashes, "_other"), F.col("_own") == F.col("_other"), "left_anti").drop("_own")
+    return rows.where(~test(key)).unionByName(near)
+
+
 def by_few(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
     for b in batches:
