@@ -92,7 +92,8 @@ class Automaton:
             elif part.startswith("<<var"):
                 first = len(self.step) - 1
                 for _ in range(int(part[5:-2])):
-                    self.any[-1] = self._state()
+                    s = len(self.step) - 1
+                    self.any[s] = self._state()
                 for s in range(first, len(self.step) - 1):
                     self.skip[s].append(len(self.step) - 1)
                 runs.append([])
