@@ -61,11 +61,15 @@ def observation_matrix(df: DataFrame, key: str = "sec_id", at: str = "observatio
 def asof_join(
     left: DataFrame, right: DataFrame, *, at: str = "observation_timestamp", by: Sequence[str] = ("sec_id",), right_on: str | None = None, right_by: Sequence[str] | None = None,
     bound: str | None = None, seq: str = "ingestion_seq", payload: Sequence[str] | None = None, prefix: str = "", keep_time: bool = False,
+    split_by: str | None = None,
 ) -> DataFrame:
     """Each row of `left` with the last row of `right` at or before it.
 
     `payload` names the columns to bring over (all others by default); they are named with `prefix`, and with
     "_feature" at the end where the left side has the name already. `keep_time` brings the fact's times too.
+
+    `split_by` ("month", "day", ...) cuts the time line of each key into such spans, for keys that hold a large share of
+    all rows: a task then scans a span, and the last fact before it is carried in from the spans' own last facts.
     """
     start, end = time_key(right.columns, right_on), bound_key(right.columns, bound)
     right_by = list(right_by or by)
@@ -86,8 +90,20 @@ def asof_join(
     rows = to_utc(left, at)
     rows = rows.select(*[F.col(c).cast("string").alias(k) for c, k in zip(by, keys, strict=True)], F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_seq"), F.struct(*[F.col(c) for c in rows.columns]).alias("_row"))
     both = facts.unionByName(rows, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_at", "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_last", F.last("_fact", ignorenulls=True).over(order)).where("_side = 1")
+    spans = []
+    if split_by:
+        both, spans = both.withColumn("_span", F.date_trunc(split_by, "_at").cast("timestamp_ntz")), ["_span"]
+    order = Window.partitionBy(*keys, *spans).orderBy("_at", "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_fact", ignorenulls=True).over(order)).where("_side = 1")
+    if split_by:
+        ends = both.groupBy(*keys, "_span").agg(F.max_by("_fact", F.when(F.col("_fact").isNotNull(), F.struct("_at", "_seq"))).alias("_end"))
+        earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*[F.col(k).alias(f"_e{k}") for k in keys], F.col("_span").alias("_espan"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+        same = F.col("_span") == F.col("_espan")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_e{k}"))
+        found = found.join(ends, same, "left").withColumn("_last", F.coalesce("_last", "_before"))
+    both = found
     live = F.col("_last.until").isNull() | (F.col("_at") < F.col("_last.until"))
     return both.select("_row.*", *[F.when(live, F.col(f"_last.p{i}")).alias(named[c]) for i, c in enumerate(wanted)])
 

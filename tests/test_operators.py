@@ -38,6 +38,14 @@ def test_asof_ties_expiry_and_names(spark):
     assert {"f_v", "f_known_from", "f_known_to"} <= set(kept.columns)
 
 
+def test_asof_by_spans_is_the_same(spark, sf):
+    from tempora import queries
+
+    v, f = queries.views(spark, sf), queries.feature(spark, sf, "purchase")
+    show = lambda df: sorted(map(repr, df.collect()))
+    assert show(asof.asof_join(v, f)) == show(asof.asof_join(v, f, split_by="day"))
+
+
 times = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30)), min_size=1, max_size=20)
 
 
