@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -42,36 +42,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a membership filter: one megabyte, whatever the data's size.
+#: Bits of a membership filter: two megabytes of broadcast rows at most, whatever the data's size.
 FILTER_BITS = 1 << 23
 
 
-def may_hold(wanted: DataFrame, hashes: str) -> Callable[[Column], Column]:
-    """A test for hashes that is true for all in `wanted` and false for most others.
+def with_near(rows: DataFrame, key: Column, wanted: DataFrame, hashes: str) -> DataFrame:
+    """Add `_near`: true for all rows whose hash `key` is in wanted[hashes], false for most others.
 
-    It is a bit map of fixed size in the plan: what it lets through needs a join still, but wide rows that are not
-    wanted never enter a shuffle. The more there are in `wanted`, the more it lets through; results do not depend on it.
+    The filter is a bit map of fixed size, made and broadcast by Spark: what it lets through needs a join still, but
+    wide rows that are not wanted never enter a shuffle. The more there are in `wanted`, the more it lets through;
+    results do not depend on it.
     """
-    at = F.pmod(F.col(hashes), F.lit(FILTER_BITS))
-    words = wanted.select(at.alias("_at")).groupBy((F.col("_at") / 64).cast("int").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_at % 64 AS INT))")).alias("_bits"))
-    bits = bytearray(FILTER_BITS // 8)
-    for r in words.collect():  # FILTER_BITS / 64 rows at most
-        bits[8 * r._w : 8 * r._w + 8] = (r._bits & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
-
-    def test(h: Column) -> Column:
-        spot = F.pmod(h, F.lit(FILTER_BITS))
-        byte = F.conv(F.hex(F.substring(F.lit(bits), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.getbit(byte, (spot % 8).cast("int")) == 1
-
-    return test
+    spot = lambda h: F.pmod(h, F.lit(FILTER_BITS))
+    bits = wanted.select((spot(F.col(hashes)) / 64).cast("int").alias("_f_word"), F.lit(1).cast("long").alias("_f_one"), (spot(F.col(hashes)) % 64).cast("int").alias("_f_bit"))
+    bits = bits.groupBy("_f_word").agg(F.bit_or(F.expr("shiftleft(_f_one, _f_bit)")).alias("_f_bits"))  # FILTER_BITS / 64 rows at most
+    out = rows.withColumn("_f_spot", spot(key)).withColumn("_f_word", (F.col("_f_spot") / 64).cast("int"))
+    out = out.join(F.broadcast(bits), "_f_word", "left")
+    near = F.coalesce(F.getbit("_f_bits", (F.col("_f_spot") % 64).cast("int")) == 1, F.lit(False))
+    return out.withColumn("_near", near).drop("_f_spot", "_f_word", "_f_bits").select(*rows.columns, "_near")
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: Column, hashes: str = "_h") -> DataFrame:
-    """The rows whose hash column `key` is not in dropped[hashes]; rows far from all of them skip the shuffle."""
-    dropped = materialize(dropped.select(hashes).distinct())
-    test = may_hold(dropped, hashes)
-    near = rows.where(test(key)).withColumn("_own", key).join(dropped.withColumnRenamed(hashes, "_other"), F.col("_own") == F.col("_other"), "left_anti").drop("_own")
-    return rows.where(~test(key)).unionByName(near)
+    """The rows whose hash `key` is not in dropped[hashes]; rows far from all of them skip the shuffle."""
+    dropped = materialize(dropped.select(hashes).distinct().withColumnRenamed(hashes, "_dropped"))
+    marked = with_near(rows, key, dropped, "_dropped")
+    left = marked.where("_near").withColumn("_own", key).join(dropped, F.col("_own") == F.col("_dropped"), "left_anti")
+    return marked.where("NOT _near").select(*rows.columns).unionByName(left.select(*rows.columns))
 
 
 def by_few(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:

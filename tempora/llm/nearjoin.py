@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialize, ship
+from tempora.llm.common import by_few, materialize, ship, with_near
 from tempora.llm.components import components
 from tempora.llm.shingles import runs, words
 
@@ -29,7 +29,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 5  # a pair at the threshold is proposed with probability 1 - (1 - 0.8**5)**28 = 0.99999
 STEP = 20  # MinHash values compared before each look at the posterior
 TOLERANCE = 1e-5
-BLOCK_SHINGLES = 1_000_000  # a block of texts holds about so many
+BLOCK_SHINGLES = 250_000  # a block of texts holds about so many
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -153,7 +153,7 @@ def jaccard_join(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(n_hashes)
-        for batch in batches:
+        for batch in by_few(batches, 1024):
             nodes, cells, sizes = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, shingle)
@@ -185,7 +185,8 @@ def jaccard_join(
     inside = materialize(groups.join(nodes.select("_id", "_n", "_copies", "_one"), F.col("id") == F.col("_id")).select("_id", "component", "_n", "_copies", F.col("_one._key").alias("_k"), F.col("_one._tv").alias("_v")))
     sizes = inside.groupBy("component").agg(F.ceil(F.sum("_n") / F.lit(block_shingles)).cast("int").alias("_blocks"))
     wanted = inside.join(sizes, "component")
-    texts = source.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_tv") == F.col("_v")))
+    # Few texts are wanted: the others do not enter the join's shuffle.
+    texts = with_near(source, F.col("_tv"), inside, "_v").where("_near").join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_tv") == F.col("_v")))
     texts = texts.select("_id", "component", "_blocks", "_copies", "_text").dropDuplicates(["_id"])
     own = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
     dealt = texts.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
