@@ -120,6 +120,29 @@ def test_passages(docs_of, prose, spark):
     assert [r.doc_id for r in passages.find_passages(twice).collect()] == [1]
 
 
+def test_two_passages_of_one_pair(docs_of, prose):
+    shapes = [(60, 40, 60), (60, 100, 60), (60, 200, 60), (60, 300, 60), (100, 100, 100), (200, 200, 200)]
+    rows, want = [], []
+    for i, (x, gap, y) in enumerate(shapes):
+        first, second = prose(1000 + i, x), prose(1100 + i, y)
+        rows += [(10 * i + side, " ".join([prose(1200 + 10 * i + side, 30), first, prose(1300 + 10 * i + side, gap), second, prose(1400 + 10 * i + side, 30)])) for side in (1, 2)]
+        want += [(10 * i + 2, 30, 30 + x), (10 * i + 2, 30 + x + gap, 30 + x + gap + y)]
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in passages.find_passages(docs_of(rows)).collect())
+    assert len(got) == len(want)
+    assert all(g[0] == w[0] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want, strict=True))
+
+
+def test_kept_words_are_the_longest_common_subsequence():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(90))] for _ in range(2))
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
+        assert passages._matches(a, b) == row[-1][-1]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"_x": F.lit(1), "_cells": F.lit(2), "links": F.lit(3)})
 
