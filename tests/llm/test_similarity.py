@@ -132,6 +132,18 @@ def test_two_passages_of_one_pair(docs_of, prose):
     assert all(g[0] == w[0] and abs(g[1] - w[1]) <= 2 and abs(g[2] - w[2]) <= 2 for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("every", [5, 6, 8, 10])
+def test_seeds_of_edited_passages(docs_of, prose, every):
+    rows = []
+    for i in range(12):
+        passage = prose(2000 + i, 90)
+        changed = " ".join(f"x{every}y{i}z{n}" if n % every == every - 1 else w for n, w in enumerate(passage.split()))
+        rows += [(10 * i + 1, prose(2100 + i, 40) + " " + passage + " " + prose(2200 + i, 40)), (10 * i + 2, prose(2300 + i, 40) + " " + changed + " " + prose(2400 + i, 40))]
+    got = {r.doc_id: r for r in passages.find_passages(docs_of(rows)).collect()}
+    assert set(got) == {10 * i + 2 for i in range(12)}
+    assert all(r.start_word <= 48 and r.end_word >= 122 and r.identity >= passages.IDENTITY for r in got.values())
+
+
 def test_kept_words_are_the_longest_common_subsequence():
     rng = random.Random(8)
     for _ in range(300):
