@@ -22,7 +22,7 @@ from tempora.llm.wordpiece import count_tokens
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

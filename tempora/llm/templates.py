@@ -69,10 +69,10 @@ def benchmark_windows(items: DataFrame, item: str, text: str, window: int) -> Da
     return made.join(counted, F.col("_item").eqNullSafe(F.col("_of"))).select("_item", "_n", "_width", F.col("_p").alias("_i"), "_h", "_slots")
 
 
-def find_leaks(
+def leaks_of_texts(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE
 ) -> DataFrame:
-    """Pairs of documents and the benchmark items they hold: (key, item, n_hit, n_windows, coverage, n_slots).
+    """Pairs of texts and the benchmark items they hold: (_key, _v, _item, _n, n_hit, n_slots); _v is the text's hash.
 
     `n_hit` of an item's `n_windows` windows stand in the document on diagonals whose slots are consistent: one value
     in the item is replaced by one value in the document. `n_slots` counts slots compared. Null and empty texts hold
@@ -101,7 +101,17 @@ def find_leaks(
     found = line.groupBy("_key", "_v", "_item", "_n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("_is")))).cast("long").alias("n_hit"), F.max(F.size("_slots")).cast("long").alias("n_slots")
     )
-    found = found.where(F.col("n_hit") >= F.lit(coverage) * F.col("_n"))
+    return found.where(F.col("n_hit") >= F.lit(coverage) * F.col("_n"))
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE
+) -> DataFrame:
+    """Pairs of documents and the benchmark items they hold: (key, item, n_hit, n_windows, coverage, n_slots).
+
+    Those of `leaks_of_texts`; of the texts that share a key, the best counts.
+    """
+    found = leaks_of_texts(docs, benchmark, key=key, text=text, item=item, item_text=item_text, window=window, coverage=coverage)
     best = found.groupBy("_key", "_item").agg(F.max("n_hit").alias("n_hit"), F.max("_n").alias("n_windows"), F.max("n_slots").alias("n_slots"))
     return best.select(F.col("_key").alias(key), F.col("_item").alias(item), "n_hit", "n_windows", (F.col("n_hit") / F.col("n_windows")).alias("coverage"), "n_slots")
 

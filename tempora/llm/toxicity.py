@@ -278,13 +278,13 @@ def _logistic(data: list[tuple[list[int], int]], width: int, penalty: float = 1.
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 20_000, threshold: float = 0.5
 ) -> DataFrame:
-    """Score every whole text: (key, held_out, score, predicted, n_restored).
+    """Score every whole text: (key, held_out, score, predicted, n_restored, text_hash).
 
     The language model counts all documents. The classifier is fitted on at most `fit_rows` labelled rows (those of
     the smallest hash), none of which is held out; labels and keys choose those rows and are no inputs of a score.
     A null or empty text gets the score of a text without signs of toxicity. A null key counts as "" for `held_out`
     and has no label; of several labels for a key the largest counts, null labels are none. Repeated rows are scored
-    alike, an empty table gives none, without labels every score is that of the intercept. `n_restored` counts the
+    alike (`text_hash` tells rows of one key apart), an empty table gives none, without labels every score is that of the intercept. `n_restored` counts the
     words after restoring. Only the named columns are read, whatever else the tables hold.
     """
     spark = docs.sparkSession
@@ -294,7 +294,7 @@ def score_toxicity(
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)
     sample = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_key").select("text", "toxic")
     shared = spark.sparkContext.broadcast(fit(sample, model_of))  # at most `width` features
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_tv"))
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,11 +313,11 @@ def score_toxicity(
                 s = max([bias + sum(w for w, _ in found), *(one for _, one in found)])
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
                 sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], ["_key", "score", "n_restored"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), b.column(2)], ["_key", "score", "n_restored", "text_hash"])
 
-    scored = rows.mapInArrow(run, f"_key {kind}, score double, n_restored long")
+    scored = rows.mapInArrow(run, f"_key {kind}, score double, n_restored long, text_hash long")
     return scored.select(
-        F.col("_key").alias(key), held_out("_key").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_restored"
+        F.col("_key").alias(key), held_out("_key").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_restored", "text_hash"
     )
 
 

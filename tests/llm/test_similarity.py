@@ -216,3 +216,16 @@ def test_pipeline(docs_of, prose, spark, tmp_path):
     assert text[202].text.split() == prose(602, 50).split() and text[202].n_chars == len(text[202].text) and text[201].text == rows[-7][1]
     assert ids("decontamination") == sorted(clean + [201, 202, 204, 205, 206])
     assert seen["encoding"].where("NOT round_trip").isEmpty() and ids("encoding") == ids("decontamination")
+
+
+def test_pipeline_keeps_clean_rows_of_a_dropped_key(docs_of, prose, spark, tmp_path):
+    bad, item = "grumble snarkly blockhead", prose(8088, 25)
+    rows = [(i, prose(i, 60) + (f" {bad}" if i % 4 == 0 else "")) for i in range(120)]
+    odd = [(None, prose(700, 40)), (None, prose(701, 40)), (7, prose(702, 40)), (None, None)]
+    toxic, leaking = [(k, f"{prose(710, 30)} {bad}") for k in (None, 7)], [(k, f"{prose(720, 30)} {item}") for k in (None, 7)]
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_toxic(spark, docs_of(rows + odd + toxic), str(tmp_path))
+    assert {(r.doc_id, r.text) for r in left.collect()} == {r for r in rows if r[0] % 4} | set(odd)
+    left = corpus_pipeline.drop_leaks(spark, docs_of(odd + leaking), str(tmp_path))
+    assert {(r.doc_id, r.text) for r in left.collect()} == set(odd)
