@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.common import materialize
+
 #: Windows of so many words. A shorter item is one window.
 WINDOW = 8
 #: An item is found in a document that holds so many of its windows.
@@ -26,14 +28,22 @@ UNITS = (
     "kilometres mile miles liter liters litre litres gram grams kilogram kilograms pound pounds degree degrees"
 ).split()
 
+# Words that begin a sentence and are no names.
+OPENERS = (
+    "a about after all also although an and any are as at because before both but by can could did do does during each either every few find for from give given had has have he her "
+    "his how however i if in is it its let many may most my no not now of on once one or other our she should since so some such than that the their then there these they this those "
+    "though to under until was we were what when where whether which while who whose why will with would you your"
+).split()
+
 NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
 
 
-def canonical(text: Column) -> tuple[Column, Column]:
-    """(raw words, template words), arrays of equal length.
+def canonical(text: Column) -> tuple[Column, Column, Column]:
+    """(raw words, template words, template words with names that begin sentences), arrays of equal length.
 
     A name is a word with a capital first letter that does not begin a sentence; numbers and the units after them are
-    placeholders too. All else is lower-cased.
+    placeholders too. All else is lower-cased. A capitalised word that begins a sentence may be a name or not: the third
+    array has a placeholder for it, unless it is one of OPENERS.
     """
     plain = F.translate(F.coalesce(text, F.lit("")), "¤‹›", "   ")
     marked = F.regexp_replace(plain, r"(^|[.!?\n][\s\"']*)(\p{Lu})", "$1¤$2")
@@ -41,32 +51,51 @@ def canonical(text: Column) -> tuple[Column, Column]:
     t = F.regexp_replace(marked, r"([^¤\p{L}])\p{Lu}\p{Ll}\p{L}*", "$1‹name›")
     t = F.regexp_replace(t, NUMBER, "‹num›")
     t = F.regexp_replace(t, rf"(?i)(‹num›\s*)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}]|$)", "$1‹unit›$2")
-    return raw, F.regexp_extract_all(F.lower(t), F.lit(r"‹\p{L}+›|\p{L}+"), F.lit(0))
+    split = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"‹\p{L}+›|\p{L}+"), F.lit(0))
+    u = F.regexp_replace(t, rf"¤(?!(?i:{'|'.join(OPENERS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*", "‹name›")
+    return raw, split(t), split(u)
 
 
 def _windows(rows: DataFrame, n: int) -> DataFrame:
-    """One row for each window of n words, with its place and its hash. Rows never leave generated code here."""
+    """One row for each window of n words, with its place and its hash; a second one (_form 1) where a name may begin a
+    sentence. Rows never leave generated code here."""
     rows = rows.where(F.size("_t") >= n).withColumn("_p", F.explode(F.sequence(F.lit(0), F.size("_t") - n)))
-    words = [F.col("_t")[F.col("_p") + k] for k in range(n)]
-    return rows.withColumn("_h", F.xxhash64(F.lit(n), *words))
+    both = [F.xxhash64(F.lit(n), *[F.col(c)[F.col("_p") + k] for k in range(n)]) for c in ("_t", "_u")]
+    return rows.select("*", F.posexplode(F.array_distinct(F.array(*both))).alias("_form", "_h"))
+
+
+def _exact_windows(rows: DataFrame, n: int) -> DataFrame:
+    """The windows of n words as they stand, without case (_form 2)."""
+    rows = rows.where(F.size("_raw") >= n).withColumn("_p", F.explode(F.sequence(F.lit(0), F.size("_raw") - n)))
+    words = [F.lower(F.translate(F.col("_raw")[F.col("_p") + k], "¤", "")) for k in range(n)]
+    return rows.withColumn("_form", F.lit(2)).withColumn("_h", F.xxhash64(F.lit(-n), *words))
 
 
 def benchmark_windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """(_item, _n, _width, _i, _h, _slots): the windows of all items; _n counts those of an item."""
-    raw, t = canonical(F.col(text))
-    rows = items.select(F.col(item).alias("_item"), raw.alias("_raw"), t.alias("_t")).where("size(_t) > 0").dropDuplicates(["_item", "_t"])
-    made = None
+    """(_item, _n, _all, _width, _i, _form, _h, _slots): the windows of all items.
+
+    _n counts those of an item's template, _all those of either form. Windows with too few literal words are left out;
+    an item that has no others is searched as it stands, without placeholders.
+    """
+    raw, t, u = canonical(F.col(text))
+    rows = items.select(F.col(item).alias("_item"), raw.alias("_raw"), t.alias("_t"), u.alias("_u")).where("size(_t) > 0").dropDuplicates(["_item", "_t"])
+    made = exact = None
     for n in range(1, window + 1):
-        some = _windows(rows.where(F.size("_t") == n) if n < window else rows, n).withColumn("_width", F.lit(n))
-        made = some if made is None else made.unionByName(some)
-    words = F.slice("_t", F.col("_p") + 1, F.col("_width"))
+        of_width = rows.where(F.size("_t") == n) if n < window else rows
+        some, whole = (f(of_width, n).withColumn("_width", F.lit(n)) for f in (_windows, _exact_windows))
+        made, exact = (some, whole) if made is None else (made.unionByName(some), exact.unionByName(whole))
+    at = F.when(F.col("_form") == 0, F.col("_t")).otherwise(F.col("_u"))
     slots = F.filter(
-        F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda k: F.struct(k.alias("o"), F.col("_t")[F.col("_p") + k].alias("kind"), F.col("_raw")[F.col("_p") + k].alias("was"))),
+        F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda k: F.struct(k.alias("o"), at[F.col("_p") + k].alias("kind"), F.translate(F.col("_raw")[F.col("_p") + k], "¤", "").alias("was"))),
         lambda s: s["kind"].startswith("‹"),
     )
-    made = made.withColumn("_slots", slots).where(F.size(words) - F.size("_slots") >= F.least(F.lit(LITERAL), F.col("_width")))
-    counted = made.groupBy("_item").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_item", "_of")
-    return made.join(counted, F.col("_item").eqNullSafe(F.col("_of"))).select("_item", "_n", "_width", F.col("_p").alias("_i"), "_h", "_slots")
+    made = made.withColumn("_slots", slots).where(F.col("_width") - F.size("_slots") >= F.least(F.lit(LITERAL), F.col("_width")))
+    made = materialize(made.select("_item", "_t", "_p", "_width", "_form", "_h", "_slots"))
+    known = made.select("_item").distinct().withColumnRenamed("_item", "_of")
+    exact = exact.join(known, F.col("_item").eqNullSafe(F.col("_of")), "left_anti").withColumn("_slots", F.filter(slots, lambda s: F.lit(False)))
+    made = materialize(made.unionByName(exact.select(*made.columns)))
+    counted = made.groupBy(F.col("_item").alias("_of")).agg(F.count(F.when(F.col("_form") != 1, 1)).alias("_n"), F.count_distinct("_t", "_p").alias("_all"))
+    return made.join(counted, F.col("_item").eqNullSafe(F.col("_of"))).select("_item", "_n", "_all", "_width", F.col("_p").alias("_i"), "_form", "_h", "_slots")
 
 
 def leaks_of_texts(
@@ -76,32 +105,41 @@ def leaks_of_texts(
 
     `n_hit` of an item's `n_windows` windows stand in the document on diagonals whose slots are consistent: one value
     in the item is replaced by one value in the document. `n_slots` counts slots compared. Null and empty texts hold
-    nothing; an item without words is never found; a null key or item id is an id like any other. Repeated rows give
+    nothing; an item without words is never found; names that begin sentences count where an item is not found without them; a null key or item id is an id like any other. Repeated rows give
     one pair. Empty tables give none. Only the named columns are read. The benchmark's windows are counted, and sent
     to all tasks only within a bound; otherwise the join is by shuffle.
     """
-    parts = benchmark_windows(benchmark, item, item_text, window)
-    sizes = {r._width: r.n for r in parts.groupBy("_width").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` numbers
-    raw, t = canonical(F.col(text))
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_v"), raw.alias("_raw"), t.alias("_t"))
+    parts = materialize(benchmark_windows(benchmark, item, item_text, window))
+    exact = F.col("_form") == 2
+    sizes = {(r._width, r.x): r.n for r in parts.groupBy("_width", exact.alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most twice `window` numbers
+    raw, t, u = canonical(F.col(text))
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_v"), raw.alias("_raw"), t.alias("_t"), u.alias("_u"))
     met = None
-    for n in sorted(sizes) or [window]:
-        right = parts.where(F.col("_width") == n)
+    for n, whole in sorted(sizes) or [(window, False)]:
+        right = parts.where((F.col("_width") == n) & (exact == whole)).withColumnRenamed("_form", "_as")
         if sum(sizes.values()) <= BROADCAST:
             right = F.broadcast(right)
-        some = _windows(rows, n).join(right, "_h")
+        some = (_exact_windows if whole else _windows)(rows, n).join(right, "_h")
         some = some.select(
-            "_key", "_v", "_item", "_n", "_i", (F.col("_p") - F.col("_i")).alias("_d"),
-            F.transform("_slots", lambda s: F.struct(s["kind"].alias("kind"), s["was"].alias("was"), F.col("_raw")[F.col("_p") + s["o"]].alias("now"))).alias("_slots"),
+            "_key", "_v", "_item", "_n", "_all", "_i", (F.col("_p") - F.col("_i")).alias("_d"), (F.col("_form") == F.col("_as")).alias("_same"), (F.col("_form") != 1).alias("_plain"),
+            F.transform("_slots", lambda s: F.struct(s["kind"].alias("kind"), s["was"].alias("was"), F.translate(F.col("_raw")[F.col("_p") + s["o"]], "¤", "").alias("now"))).alias("_slots"),
         )
         met = some if met is None else met.unionByName(some)
-    line = met.groupBy("_key", "_v", "_item", "_n", "_d").agg(F.collect_set("_i").alias("_is"), F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"))
-    old = F.array_distinct(F.transform("_slots", lambda s: F.struct(s["kind"].alias("kind"), s["was"].alias("was"))))
-    line = line.where(F.size(old) == F.size("_slots"))
-    found = line.groupBy("_key", "_v", "_item", "_n").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("_is")))).cast("long").alias("n_hit"), F.max(F.size("_slots")).cast("long").alias("n_slots")
+    plain = F.col("_same") & F.col("_plain")
+    gather = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    line = met.groupBy("_key", "_v", "_item", "_n", "_all", "_d").agg(
+        F.collect_set(F.when(plain, F.col("_i"))).alias("_is0"), gather(F.when(plain, F.col("_slots"))).alias("_slots0"), F.collect_set("_i").alias("_is1"), gather(F.col("_slots")).alias("_slots1")
     )
-    return found.where(F.col("n_hit") >= F.lit(coverage) * F.col("_n"))
+    for k in "01":
+        old = F.array_distinct(F.transform(f"_slots{k}", lambda s: F.struct(s["kind"].alias("kind"), s["was"].alias("was"))))
+        ok = (F.size(old) == F.size(f"_slots{k}")) & (F.size(f"_is{k}") > 0)
+        line = line.withColumn(f"_z{k}", F.when(ok, F.size(f"_slots{k}")).cast("long")).withColumn(f"_is{k}", F.when(ok, F.col(f"_is{k}")))
+    hits = lambda k: F.size(F.array_distinct(F.flatten(F.collect_list(f"_is{k}")))).cast("long").alias(f"_hit{k}")
+    found = line.groupBy("_key", "_v", "_item", "_n", "_all").agg(hits("0"), F.max("_z0").alias("_z0"), hits("1"), F.max("_z1").alias("_z1"))
+    enough = lambda hit, n: (F.col(hit) > 0) & (F.col(hit) >= F.lit(coverage) * F.col(n))
+    found = found.where(enough("_hit0", "_n") | enough("_hit1", "_all")).withColumn("_plain", enough("_hit0", "_n"))
+    either = lambda a, b: F.when(F.col("_plain"), F.col(a)).otherwise(F.col(b))
+    return found.select("_key", "_v", "_item", "_plain", either("_n", "_all").alias("_n"), either("_hit0", "_hit1").alias("n_hit"), either("_z0", "_z1").alias("n_slots"))
 
 
 def find_leaks(
@@ -112,7 +150,10 @@ def find_leaks(
     Those of `leaks_of_texts`; of the texts that share a key, the best counts.
     """
     found = leaks_of_texts(docs, benchmark, key=key, text=text, item=item, item_text=item_text, window=window, coverage=coverage)
-    best = found.groupBy("_key", "_item").agg(F.max("n_hit").alias("n_hit"), F.max("_n").alias("n_windows"), F.max("n_slots").alias("n_slots"))
+    best = found.groupBy("_key", "_item").agg(
+        F.max(F.struct("_plain", "n_hit", F.col("_n").alias("n_windows"))).alias("_b"), F.coalesce(F.max(F.when(F.col("_plain"), F.col("n_slots"))), F.max("n_slots")).alias("n_slots")
+    )
+    best = best.select("_key", "_item", "_b.n_hit", "_b.n_windows", "n_slots")
     return best.select(F.col("_key").alias(key), F.col("_item").alias(item), "n_hit", "n_windows", (F.col("n_hit") / F.col("n_windows")).alias("coverage"), "n_slots")
 
 

@@ -259,6 +259,23 @@ def test_leaks(docs_of, spark, prose):
     assert templates.find_leaks(docs_of(rows).limit(0), bench).count() == 0
 
 
+def test_leaks_with_names_that_begin_sentences(docs_of, spark):
+    q = "Alice has 3 apples and buys some more at noon. Alice gives a few to the old man nearby. Carol sells the rest of them for 9 coins. Alice counts what is left of it now."
+    bench = spark.createDataFrame([(1, q)], "item_id long, text string")
+    renamed = q.replace("Alice", "Bob").replace("Carol", "Dave").replace("3", "5")
+    rows = [(1, q), (2, renamed), (3, "Words before it. " + renamed), (4, q.replace("Alice gives", "Bob gives").replace("Carol", "Eve").replace("Alice counts", "Dan counts"))]
+    got = {r.doc_id: r for r in templates.find_leaks(docs_of(rows), bench).collect()}
+    assert {1, 2, 3} <= set(got) and got[2].coverage == 1.0 and got[2].n_slots >= 3
+
+
+def test_leaks_of_items_with_few_literal_words(docs_of, spark):
+    items = ["What is 12 + 15 * 3?", "Solve 12 x + 7 = 43", "1 2 3 4 5 6 7 8 9 10"]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    rows = [(i, f"kato rimu. {q} Selo mune.") for i, q in enumerate(items)] + [(10, "What is 13 + 15 * 3?"), (11, "solve 12 y + 7 = 43"), (12, None)]
+    got = {(r.doc_id, r.item_id): r.coverage for r in templates.find_leaks(docs_of(rows), bench).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0}
+
+
 def test_large_benchmark_is_not_broadcast(docs_of, spark, prose, monkeypatch):
     monkeypatch.setattr(templates, "BROADCAST", 0)
     bench = spark.createDataFrame([(2, prose(3, 20))], "item_id long, text string")
