@@ -32,8 +32,9 @@ BACKOFF = 6.0
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 _WORD = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"(.)\1\1", re.S)
-_SIGNS = re.compile(r"([^\w\s])\1+")  # a run of one sign is noise, not a letter
+_RUN = re.compile(r"(.)\1", re.S)
+_SIGNS = re.compile(r"^(?:([^\w\s])\1+)+|(?:([^\w\s])\2+)+$")  # a run of one sign at an edge is noise, not a letter
+_PARTED = re.compile(rf"[^\W\d_][{re.escape(APART)}]+[^\W\d_]")
 _MIXED = re.compile(r"[^\W\d_]")
 
 
@@ -104,9 +105,9 @@ class CharModel:
 
     def read(self, slots: list[list[tuple[str, float]]]) -> str:
         """The cheapest reading of a lattice: each slot offers (letters, channel cost). Exact Viterbi over histories."""
-        best: dict[str, tuple[float, str]] = {" ": (0.0, "")}
+        best: dict[str, tuple[float, tuple]] = {" ": (0.0, ())}  # a reading is (reading before, letters): long ones share their beginnings
         for slot in slots:
-            after: dict[str, tuple[float, str]] = {}
+            after: dict[str, tuple[float, tuple]] = {}
             for past, (spent, out) in best.items():
                 for letters, cost in slot:
                     h, s = past, spent + cost
@@ -114,9 +115,14 @@ class CharModel:
                         s += self.cost(h, c)
                         h = (h + c)[-3:]
                     if h not in after or s < after[h][0]:
-                        after[h] = (s, out + letters)
+                        after[h] = (s, (out, letters) if letters else out)
             best = after
-        return min((s + self.cost(h, " "), out) for h, (s, out) in best.items())[1]
+        _, out = min(((s + self.cost(h, " "), out) for h, (s, out) in best.items()), key=lambda x: x[0])
+        read = []
+        while out:
+            out, letters = out
+            read.append(letters)
+        return "".join(reversed(read))
 
 
 def lattice(chunk: str) -> list[list[tuple[str, float]]]:
@@ -130,6 +136,8 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
             slots.append([("", 0.7), (" ", 0.7)])
         elif n >= 3:
             slots.append([(c, 0.5), (c + c, 0.7)])
+        elif n == 2 and c.isalpha():
+            slots.append([(c + c, 0.0), (c, 2.5)])
         else:
             slots += [[(c, 0.0)]] * n
     return slots
@@ -144,6 +152,8 @@ class Restorer:
     def _read(self, chunk: str) -> list[str]:
         if (got := self.known.get(chunk)) is None:
             got = _WORD.findall(self.model.read(lattice(chunk)))
+            if len(chunk) > 64:
+                return got
             if len(self.known) >= self.remembered:
                 self.known.clear()
             self.known[chunk] = got
@@ -155,8 +165,7 @@ class Restorer:
 
         def flush() -> None:
             if len(lone) >= 3 and sum(c.isalpha() for c in lone) >= 2:
-                for at in range(0, len(lone), 48):
-                    out.extend(self._read(" ".join(lone[at : at + 48])))
+                out.extend(self._read(" ".join(lone)))
             else:
                 out.extend(c for c in lone if c.isalpha())
             lone.clear()
@@ -175,12 +184,12 @@ class Restorer:
                 continue
             if lone:
                 flush()
-            chunk = _SIGNS.sub(" ", chunk)
+            chunk = _SIGNS.sub("", chunk)
             for part in chunk.split():
                 core = part.strip(".,;:?!\"'()[]{}*&%#~^|<>“”«»")
                 if core.isalpha() and not _RUN.search(core):
                     out.append(core)
-                elif len(core) > 40 or not _MIXED.search(core):
+                elif not _MIXED.search(core):
                     out.extend(_WORD.findall(core))
                 elif _suspicious(core):
                     out.extend(self._read(part if part[-1:] in "!$@|+(" or part[:1] in "!$@|+(" else core))
@@ -191,10 +200,8 @@ class Restorer:
 
 
 def _suspicious(core: str) -> bool:
-    """Letters mixed with signs that stand for letters, letters three times in a row, or letters set apart by signs."""
-    if _RUN.search(core) or any(c in LEET for c in core):
-        return True
-    return len(core) >= 5 and max(map(len, _WORD.findall(core)), default=9) == 1
+    """Letters mixed with signs that stand for letters, letters twice in a row, or letters set apart by signs."""
+    return bool(_RUN.search(core) or any(c in LEET for c in core) or _PARTED.search(core))
 
 
 def features(words: list[str]) -> set[str]:

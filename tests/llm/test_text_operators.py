@@ -221,6 +221,19 @@ def test_restoring(docs_of, insults):
     assert r.words(None) == [] and r.words("") == []
 
 
+def test_restoring_long_and_partly_changed_words(insults):
+    rows, _ = insults
+    text = " ".join(t or "" for _, t in rows[:400]) + " you are stupid and worthless asshole hello idiot" * 60
+    cells = np.concatenate([np.bincount(toxicity._ngrams(toxicity._folded(text), k + 1), minlength=b) for k, b in enumerate(toxicity.BUCKETS)])
+    r = toxicity.Restorer(toxicity.CharModel(cells))
+    whole = ["you", "are", "stupid", "and", "worthless"]
+    assert "".join(r.words(".".join("youarestupidandworthless"))) == "".join(whole)
+    assert r.words("stu" + "u" * 40 + "pid") == ["stupid"]
+    assert "".join(r.words(" ".join("stupidworthless" * 8))) == "stupidworthless" * 8
+    for spelled, word in (("a$$hole", "asshole"), ("s--t--u--p--i--d", "stupid"), ("stuupid", "stupid"), ("wortthless", "worthless"), ("st.upid", "stupid"), ("wor-thless", "worthless"), ("hello", "hello")):
+        assert r.words(spelled) == [word]
+
+
 def test_lattice_search_is_exact():
     rng = random.Random(4)
     m = toxicity.CharModel(np.array([rng.randrange(9) for _ in range(sum(toxicity.BUCKETS))]))
