@@ -10,11 +10,14 @@ from collections.abc import Sequence
 from datetime import date
 from pathlib import Path
 
+from tempora import __version__
 from tempora.plans.strategy import StrategyConfig
 
 
 def build_parser() -> argparse.ArgumentParser:
+    # Names, flags and defaults are the interface.
     p = argparse.ArgumentParser(prog="tempora")
+    p.add_argument("--version", action="version", version=f"tempora {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     lint = sub.add_parser("lint", help="look for look-ahead in feature code")
     lint.add_argument("files", nargs="+", type=Path)
@@ -77,6 +80,7 @@ def _run(args: argparse.Namespace) -> int:
     from tempora.session import get_session
     from tempora.sources.storage import optional_splits, read_parquet
     from tempora.tools.manifest import build_manifest, snapshot, write_manifest
+    from tempora.tools.report import write_report
 
     if args.start_date > args.end_date:
         raise ValueError("the start lies after the end")
@@ -89,6 +93,7 @@ def _run(args: argparse.Namespace) -> int:
     if args.synthetic:
         raw, adjusted, splits, filings = synthetic.market(spark, ids, args.start_date, args.end_date)
         keep, eps = ["sec_id", "metric_value", "known_from", "ingestion_seq"], synthetic.EPS_SCREEN
+        inputs = [{"path": "synthetic", "seed": synthetic.SEED}]
         leaky_views, corrected_views = (synthetic.leaky_fundamentals(filings).select(*keep),), (filings.select(*keep, "known_to"),)
     else:
         prices = args.prices_path or args.data_root / "market_ohlcv"
@@ -119,6 +124,7 @@ def _run(args: argparse.Namespace) -> int:
         arm.simulation.write.mode("overwrite").parquet(str(folder / f"equity_{name}"))
     (folder / "metrics.json").write_text(json.dumps(results, indent=2))
     (folder / "report.txt").write_text(sheet.render() + "\n")
+    write_report(folder / "report.pdf", manifest["run_id"], sheet, {"leaky": arms.leaky.simulation, "corrected": arms.corrected.simulation})
     print(folder)
     return 0
 

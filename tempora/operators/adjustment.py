@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.temporal import to_utc
@@ -24,9 +24,16 @@ def split_events(splits: DataFrame) -> DataFrame:
 
 
 def latest_bars(prices: DataFrame) -> DataFrame:
-    """The last bar of each security and day."""
+    """The last bar of each security and day, as it became known or was ingested.
+
+    Where prices say neither, two bars of a day cannot be told apart: the plan fails on them.
+    """
     order = [c for c in ("known_from", "ingestion_seq") if c in prices.columns]
-    return latest_per_key(prices, ["sec_id", "trade_date"], order or ["close"])
+    if order:
+        return latest_per_key(prices, ["sec_id", "trade_date"], order)
+    rows = prices.withColumn("_bars", F.count(F.lit(1)).over(Window.partitionBy("sec_id", "trade_date")))
+    twice = F.raise_error(F.lit("a security has two bars of a day and nothing says which came last")).cast("boolean")
+    return rows.where(F.when(F.col("_bars") > 1, twice).otherwise(True)).drop("_bars")
 
 
 def factor(ratio: Column, applies: Column, power: int = -1) -> Column:

@@ -57,9 +57,9 @@ def ema(x: Column, n: Column, order: WindowSpec, span: int) -> tuple[Column, Col
 
 
 def pit_indicators(prices: DataFrame, splits: DataFrame | None = None) -> DataFrame:
-    """(sec_id, trade_date, known_from, known_splits, log_return, momentum_20d, volatility_20d, sma_50d, ema_50d).
+    """(sec_id, trade_date, known_from, known_splits, adj_close, log_return, momentum_20d, volatility_20d, sma_50d, ema_50d).
 
-    momentum: growth over 20 bars; volatility: sample deviation of 20 log returns, a year's; sma: mean of 50; ema: of
+    adj_close: the bar's close in its own state; momentum: growth over 20 bars; volatility: sample deviation of 20 log returns, a year's; sma: mean of 50; ema: of
     span 50, seeded with the first price. Each is null until its window is full.
     """
     rows = by_state(prices, splits)
@@ -78,4 +78,4 @@ def pit_indicators(prices: DataFrame, splits: DataFrame | None = None) -> DataFr
     rows = rows.withColumn("_end", F.max(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     carried = F.coalesce(F.col("_end._local") * F.pow(F.lit(49 / 51), F.col("_n") % EMA_BLOCK + 1), F.lit(0.0))
     rows = rows.withColumn("ema_50d", F.when(F.col("_n") >= 49, F.col("_local") + carried))
-    return rows.where("known_splits = state").select("sec_id", "trade_date", "known_from", "known_splits", "log_return", "momentum_20d", "volatility_20d", "sma_50d", "ema_50d")
+    return rows.where("known_splits = state").select("sec_id", "trade_date", "known_from", "known_splits", F.col("adj").alias("adj_close"), "log_return", "momentum_20d", "volatility_20d", "sma_50d", "ema_50d")

@@ -25,7 +25,8 @@ def _indicators(ctx: FeatureContext) -> DataFrame:
 
 @register(name="adj_close", version="2.0.0", description="close adjusted by the splits known when the bar was")
 def adj_close(ctx: FeatureContext) -> DataFrame:
-    return adj_close_pit(ctx.resolve_prices(), ctx.resolve_splits())
+    """From the indicators' frame where that is made anyway."""
+    return _indicators(ctx).select(*KEYS, "adj_close") if ctx.custom.get("wide") else adj_close_pit(ctx.resolve_prices(), ctx.resolve_splits())
 
 
 @register(name="momentum_20d", version="2.0.0", dependencies=["adj_close"])
@@ -54,23 +55,22 @@ def features_as_of(
     """Observations with the last value of each feature that was known at the time.
 
     Features are computed in dependency order. Those whose rows are keyed like bars are joined as one wide frame, so
-    that any number of them costs one as-of join; others are joined one by one.
+    that any number of them costs one as-of join; others are joined one by one. Observations without a key or a time
+    make the plan fail.
     """
-    seen = observation_matrix(observations)
+    seen = observation_matrix(observations, reject_nulls=True)
     ctx = FeatureContext(observations=seen, prices=prices, splits=splits, catalog=catalog)
     registry = registry or global_registry()
-    for f in registry.execution_order(names):
+    order = registry.execution_order(names)
+    wide = [adj_close, momentum_20d, volatility_20d, sma_50d, ema_50d]
+    ctx.custom["wide"] = any(f in wide[1:] for f in order)
+    for f in order:
         ctx.custom[f.name] = f.compute_fn(ctx)
-    indicators = [n for n in names if "indicators" in ctx.custom and registry.get(n).compute_fn in (momentum_20d, volatility_20d, sma_50d, ema_50d)]
-    wide = None
-    if indicators:
-        wide = ctx.custom["indicators"].select(*KEYS, *indicators)
-        if "adj_close" in names and registry.get("adj_close").compute_fn is adj_close:
-            wide = wide.join(ctx.custom["adj_close"], list(KEYS))
-            indicators = ["adj_close", *indicators]
+    indicators = [n for n in names if "indicators" in ctx.custom and registry.get(n) in wide]
     out = seen
-    if wide is not None:
-        out = asof_join(out, wide.withColumn("ingestion_seq", F.datediff("trade_date", F.lit("1970-01-01"))), right_on="known_from", payload=indicators)
+    if indicators:
+        frame = ctx.custom["indicators"].select(*KEYS, *indicators)
+        out = asof_join(out, frame.withColumn("ingestion_seq", F.datediff("trade_date", F.lit("1970-01-01"))), right_on="known_from", payload=indicators)
     for n in names:
         if n not in indicators:
             frame = ctx.custom[n]

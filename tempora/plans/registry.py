@@ -6,7 +6,7 @@ import hashlib
 import inspect
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -65,30 +65,38 @@ class FeatureDefinition:
     description: str = ""
     tags: tuple[str, ...] = ()
 
+    def __call__(self, ctx: FeatureContext) -> DataFrame:
+        return self.compute_fn(ctx)
+
     def compute_hash(self) -> str:
-        """SHA-256 of name, version, dependencies and source without white space."""
+        """"sha256:" and the digest of name, version, dependencies and source without white space."""
         try:
             source = inspect.getsource(self.compute_fn)
         except (OSError, TypeError):
             source = getattr(self.compute_fn, "__qualname__", repr(self.compute_fn))
         parts = [self.name, self.version, ",".join(sorted(self.dependencies)), re.sub(r"\s+", "", source)]
-        return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+        return "sha256:" + hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
 
 
 class FeatureRegistry:
     def __init__(self) -> None:
         self._features: dict[str, FeatureDefinition] = {}
 
-    def register(self, feature: FeatureDefinition | ComputeFn | None = None, *, name: str | None = None, version: str = "1.0.0", dependencies: Sequence[str] = (), description: str = "", tags: Sequence[str] = (), overwrite: bool = False):
-        """Add a definition or a function; without one, a decorator."""
+    def register(
+        self, feature: FeatureDefinition | ComputeFn | None = None, *, name: str | None = None, version: str = "1.0.0", dependencies: Sequence[str] = (), compute_fn: ComputeFn | None = None,
+        description: str = "", tags: Sequence[str] = (), overwrite: bool = False,
+    ):
+        """Add a definition or a function and return its definition, which is callable; without one, a decorator."""
 
-        def add(fn: ComputeFn) -> ComputeFn:
-            self._add(FeatureDefinition(name or fn.__name__, fn, version, tuple(dependencies), description, tuple(tags)), overwrite)
-            return fn
+        def add(fn: ComputeFn) -> FeatureDefinition:
+            made = FeatureDefinition(name or fn.__name__, fn, version, tuple(dependencies), description or (fn.__doc__ or "").strip(), tuple(tags))
+            self._add(made, overwrite)
+            return made
 
         if feature is None:
-            return add
+            return add if compute_fn is None else add(compute_fn)
         if isinstance(feature, FeatureDefinition):
+            feature = replace(feature, name=name or feature.name, dependencies=tuple(dependencies) or feature.dependencies, tags=tuple(tags) or feature.tags)
             self._add(feature, overwrite)
             return feature
         return add(feature)

@@ -13,6 +13,7 @@ from tempora.operators.asof import asof_join_many
 from tempora.plans.features import DEFAULT_FEATURES, features_as_of
 from tempora.plans.simulation import SimulationConfig, simulate
 from tempora.plans.strategy import StrategyConfig, target_weights
+from tempora.session import stored
 
 DEFAULT_UNIVERSE = ("AAPL", "MSFT", "NVDA", "META", "GOOGL")
 
@@ -89,9 +90,12 @@ def run_comparison(
     observations: DataFrame, raw: DataFrame, preadjusted: DataFrame, splits: DataFrame | None = None, strategy: StrategyConfig | None = None, simulation: SimulationConfig | None = None,
     names: Sequence[str] = DEFAULT_FEATURES, leaky_views: Sequence[DataFrame] = (), corrected_views: Sequence[DataFrame] = (), leaky_universe: Sequence[str] = DEFAULT_UNIVERSE, raw_is_preadjusted: bool = False,
 ) -> Comparison:
-    """Both arms with the same settings. Adjusted prices carry their splits already, so only the other arm applies them."""
-    a = leaky_features(observations, preadjusted, names, leaky_views, leaky_universe)
-    b = corrected_features(observations, raw, splits, names, corrected_views)
+    """Both arms with the same settings. Adjusted prices carry their splits already, so only the other arm applies them.
+
+    Features are written to the shared folder once: weights, prices and what follows from them read them several times.
+    """
+    a = stored(leaky_features(observations, preadjusted, names, leaky_views, leaky_universe))
+    b = stored(corrected_features(observations, raw, splits, names, corrected_views))
     wa, wb = target_weights(a, strategy), target_weights(b, strategy)
     return Comparison(
         Arm(a, wa, simulate(wa, simulation_prices(a), simulation)),
@@ -99,6 +103,13 @@ def run_comparison(
     )
 
 
+def compare_arms(comparison: Comparison, columns: Sequence[str] = ("net_return", "equity", "turnover")) -> DataFrame:
+    """(observation_timestamp, <column>_leaky, <column>_corrected, <column>_delta): every time that either arm has."""
+    a, b = (arm.simulation.select("observation_timestamp", *[F.col(c).alias(f"{c}_{n}") for c in columns]) for n, arm in (("leaky", comparison.leaky), ("corrected", comparison.corrected)))
+    both = a.join(b, "observation_timestamp", "full")
+    return both.select("*", *[(F.col(f"{c}_corrected") - F.col(f"{c}_leaky")).alias(f"{c}_delta") for c in columns])
+
+
 def demo(spark: SparkSession, start, end, tickers: Sequence[str] = DEFAULT_UNIVERSE, top_n: int = 3, cost_bps: float = 5.0, seed: int | None = None) -> Comparison:
     """The comparison on the seeded market."""
     from tempora.plans import synthetic

@@ -27,6 +27,13 @@ def unique_keys(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what} hold a (time, security) twice")
 
 
+def one_row_each(df: DataFrame, value: str, what: str) -> DataFrame:
+    """(observation_timestamp, sec_id, value); the plan fails on a (time, security) that stands twice."""
+    rows = df.groupBy("observation_timestamp", "sec_id").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.lit(f"{what} hold a (time, security) twice")).cast(df.schema[value].dataType)
+    return rows.select("observation_timestamp", "sec_id", F.when(F.col("_n") == 1, F.col(value)).otherwise(twice).alias(value))
+
+
 def next_times(weights: DataFrame) -> DataFrame:
     """(observation_timestamp, next_timestamp): one row for each rebalancing time but the last."""
     order = Window.orderBy("observation_timestamp")  # as many rows as rebalancing times
@@ -36,9 +43,13 @@ def next_times(weights: DataFrame) -> DataFrame:
 
 def period_returns(prices: DataFrame, times: DataFrame, price: str = "price", splits: DataFrame | None = None) -> DataFrame:
     """(observation_timestamp, next_timestamp, sec_id, asset_return), neutral to splits that go ex at the next time."""
-    p = prices.select("observation_timestamp", "sec_id", F.col(price).alias("current_price"))
-    nxt = prices.select(F.col("observation_timestamp").alias("next_timestamp"), "sec_id", F.col(price).alias("next_price"))
-    rows = p.join(F.broadcast(times), "observation_timestamp").join(nxt, ["next_timestamp", "sec_id"])
+    # The times of a simulation are few, by nature; the last one has prices too, but no next time.
+    last = times.select(F.max("next_timestamp").alias("observation_timestamp"), F.lit(None).cast("timestamp_ntz").alias("next_timestamp"))
+    p = prices.select("observation_timestamp", "sec_id", F.col(price).alias("current_price")).join(F.broadcast(times.unionByName(last)), "observation_timestamp")
+    line = Window.partitionBy("sec_id").orderBy("observation_timestamp")
+    after = F.lead(F.struct("observation_timestamp", "current_price")).over(line)
+    rows = p.withColumn("_after", after).where(F.col("_after.observation_timestamp") == F.col("next_timestamp"))
+    rows = rows.select("next_timestamp", "sec_id", "observation_timestamp", "current_price", F.col("_after.current_price").alias("next_price"))
     if splits is None:
         rows = rows.withColumn("split_ratio", F.lit(1.0))
     else:
@@ -78,7 +89,8 @@ def equity_curve(returns: DataFrame, initial_capital: float = 1.0) -> DataFrame:
 def simulate(weights: DataFrame, prices: DataFrame, config: SimulationConfig | None = None, splits: DataFrame | None = None, *, check: bool = False) -> DataFrame:
     """(observation_timestamp, gross_return, turnover, cost, net_return, equity).
 
-    The last time has no row; a security without a next price drops out of the interval. `check` rejects repeated keys.
+    The last time has no row; a security without a next price drops out of the interval. A (time, security) that stands
+    twice in weights or prices makes the plan fail; `check` rejects it at once, by two jobs.
     """
     config = config or SimulationConfig()
     require(weights, {"observation_timestamp", "sec_id", "weight"}, "weights")
@@ -86,7 +98,9 @@ def simulate(weights: DataFrame, prices: DataFrame, config: SimulationConfig | N
     if check:
         unique_keys(weights, "weights")
         unique_keys(prices, "prices")
-    returns = period_returns(prices, next_times(weights), config.price_column, splits)
+    times = next_times(weights)
+    weights = one_row_each(weights, "weight", "weights")
+    returns = period_returns(one_row_each(prices, config.price_column, "prices"), times, config.price_column, splits)
     drifted = drifted_weights(weights, returns)
     rows = gross_returns(drifted).join(turnover_of(weights, drifted), "observation_timestamp", "left")
     rows = rows.withColumn("cost", F.col("turnover") * (config.transaction_cost_bps / 10_000))

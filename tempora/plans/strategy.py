@@ -56,6 +56,18 @@ def eligible(config: StrategyConfig, price: str) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def momentum_rank(*also: str) -> Column:
+    """Rank by momentum among the rows of a time, and of what else is named; ties by security."""
+    return F.row_number().over(Window.partitionBy("observation_timestamp", *also).orderBy(F.desc("momentum_20d"), "sec_id"))
+
+
+def top_momentum(features: DataFrame, config: StrategyConfig | None = None, *, price_column: str | None = None) -> DataFrame:
+    """The eligible rows of each time with the best `momentum_rank`, top_n at most; each task keeps no more of a time."""
+    config = config or StrategyConfig()
+    rows = features.where(eligible(config, price_column_of(features, price_column)))
+    return rows.withColumn("momentum_rank", momentum_rank()).where(F.col("momentum_rank") <= config.top_n)
+
+
 def target_weights(features: DataFrame, config: StrategyConfig | None = None, *, price_column: str | None = None) -> DataFrame:
     """(observation_timestamp, sec_id, weight): the top names by momentum, weighted by inverse volatility.
 
@@ -69,8 +81,7 @@ def target_weights(features: DataFrame, config: StrategyConfig | None = None, *,
     weekly = config.rebalance_frequency == "weekly"
     test = eligible(config, price) & day if weekly else eligible(config, price)
     rows = features.withColumn("_ok", test)
-    rank = Window.partitionBy("observation_timestamp", "_ok").orderBy(F.desc("momentum_20d"), "sec_id")
-    rows = rows.withColumn("_held", F.col("_ok") & (F.row_number().over(rank) <= config.top_n))
+    rows = rows.withColumn("_held", F.col("_ok") & (momentum_rank("_ok") <= config.top_n))
     inverse = F.when(F.col("_held"), F.try_divide(F.lit(1.0), F.col("volatility_20d")))
     rows = rows.withColumn("_inv", inverse)
     total = F.sum("_inv").over(Window.partitionBy("observation_timestamp"))

@@ -7,8 +7,9 @@ and some of them splits, orders are versioned facts, events are facts and observ
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,9 @@ from tempora.functions.temporal import at_time
 from tempora.operators import adjustment, asof, bitemporal, entity, indicators
 from tempora.plans import features as feature_plans
 from tempora.plans import metrics, runner, simulation, strategy
+from tempora.session import shared_dir, stored
+from tempora.sources.catalog import Catalog
+from tempora.sources.storage import IngestionLog, append_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,19 +128,32 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 OHLCV = "sec_id, trade_date, open, high, low, close, volume, known_from, ingestion_seq"
 
 
+def store(spark: SparkSession) -> str:
+    """A new folder for stored tables."""
+    return f"{shared_dir(spark)}/tempora-store-{uuid.uuid4().hex}"
+
+
+def catalog_of(rows: DataFrame, table: str) -> Catalog:
+    """A catalog over a store that holds `rows` as one of its tables."""
+    base = store(rows.sparkSession)
+    append_table(rows, base, table)
+    return Catalog(rows.sparkSession, base)
+
+
 @query(f"WITH {BARS} SELECT {OHLCV} FROM bars", dates="trade_date")
 def scan_market_bars(spark, sf):
-    return bars(spark, sf).select(*OHLCV.split(", "))
+    return catalog_of(bars(spark, sf), "market_ohlcv").query(f"SELECT {OHLCV} FROM fact_market_ohlcv_raw")
 
 
 @query(f"WITH {SPLITS} SELECT sec_id, 'SPLIT' AS action_type, ex_date, split_ratio, CAST(NULL AS DOUBLE) AS cash_amount, ex_date AS announcement_date, known_from FROM splits", dates="ex_date announcement_date")
 def scan_corporate_actions(spark, sf):
-    return splits(spark, sf).select("sec_id", F.lit("SPLIT").alias("action_type"), "ex_date", "split_ratio", F.lit(None).cast("double").alias("cash_amount"), F.col("ex_date").alias("announcement_date"), "known_from")
+    rows = splits(spark, sf).select("sec_id", F.lit("SPLIT").alias("action_type"), "ex_date", "split_ratio", F.lit(None).cast("double").alias("cash_amount"), F.col("ex_date").alias("announcement_date"), "known_from", F.lit(1).cast("long").alias("ingestion_seq"))
+    return catalog_of(rows, "corporate_actions").query("SELECT * EXCEPT (ingestion_seq) FROM fact_corporate_actions")
 
 
 @query(f"WITH {TICKERS} SELECT * FROM tickers")
 def scan_entity_map(spark, sf):
-    return tickers(spark, sf)
+    return catalog_of(tickers(spark, sf), "entity_map").query("SELECT * FROM dim_security_ticker_raw")
 
 
 @query(f"WITH {SPLITS} SELECT * FROM splits WHERE ex_date <= DATE '1999-12-31'", dates="ex_date")
@@ -148,21 +165,19 @@ def splits_only(spark, sf):
 
 @query(f"WITH {BARS} SELECT sec_id, count(*) AS n_bars, max(close) AS max_close FROM bars WHERE trade_date >= DATE '1998-01-01' GROUP BY sec_id")
 def catalog_sql(spark, sf):
-    bars(spark, sf).createOrReplaceTempView("tempora_bars")
-    return spark.sql("SELECT sec_id, count(*) AS n_bars, max(close) AS max_close FROM tempora_bars WHERE trade_date >= ? GROUP BY sec_id", args=[date(1998, 1, 1)])
+    c = catalog_of(bars(spark, sf), "market_ohlcv")
+    return c.query("SELECT sec_id, count(*) AS n_bars, max(close) AS max_close FROM fact_market_ohlcv_raw WHERE trade_date >= ? GROUP BY sec_id", [date(1998, 1, 1)])
 
 
 @query("SELECT o_orderpriority AS table_name, count(*) AS row_count, max(o_orderkey) AS latest_seq, max(o_orderkey) + 1 AS next_seq FROM orders GROUP BY o_orderpriority")
 def ingestion_log(spark, sf):
-    o = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("table_name"))
-    return o.agg(F.count(F.lit(1)).alias("row_count"), F.max("o_orderkey").alias("latest_seq")).withColumn("next_seq", F.col("latest_seq") + 1)
-
-
-@query("SELECT s_suppkey, 'SEC_' || upper(trim(s_name)) || '_001' AS sec_id FROM supplier")
-def sec_id_normalise(spark, sf):
-    return read(spark, sf, "supplier").select("s_suppkey", entity.sec_id_of(F.col("s_name")).alias("sec_id"))
-
-
+    """Every order priority is logged as a table, its orders as a batch."""
+    log = IngestionLog(spark, store(spark))
+    o = read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("seq"))
+    for r in o.collect():  # five priorities
+        log.record(r.o_orderpriority, "orders", r.n, seq=r.seq)
+    kept = log.history().groupBy("table_name").agg(F.sum("row_count").alias("row_count"), F.max("ingestion_seq").alias("latest_seq"))
+    return kept.withColumn("next_seq", F.col("latest_seq") + 1)
 # ---- predicates -----------------------------------------------------------------------------------------------------
 
 
@@ -276,6 +291,39 @@ def asof_multi_view(spark, sf):
     return asof.asof_join_many(views(spark, sf), [feature(spark, sf, "purchase"), feature(spark, sf, "click")])
 
 
+def _some(column: str, kept: str) -> str:
+    return f"CASE WHEN {kept} THEN {column} END"
+
+
+def _with_nulls(view_key: str, view_time: str, fact_key: str, fact_time: str) -> str:
+    """The as-of join in SQL over keys and times of which some are null; of facts at one time the last event counts."""
+    return f"""WITH v AS (SELECT {view_key} AS sec_id, {view_time} AS observation_timestamp, event_id FROM events WHERE event_type = 'view'),
+        p AS (SELECT {fact_key} AS sec_id, {fact_time} AS known_from, value, event_id FROM events WHERE event_type = 'purchase'),
+        q AS (SELECT * FROM p WHERE known_from IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sec_id, known_from ORDER BY event_id DESC) = 1)
+        SELECT v.sec_id, v.observation_timestamp, v.event_id, q.value AS purchase FROM v ASOF LEFT JOIN q ON v.sec_id = q.sec_id AND v.observation_timestamp >= q.known_from"""
+
+
+USER, NOT_THIRD = "CAST(user_id AS VARCHAR)", "event_id % 3 <> 0"
+
+
+@query(_with_nulls(_some(USER, "user_id % 5 <> 0"), "ts", _some(USER, "user_id % 5 <> 0"), "ts"))
+def asof_null_keys(spark, sf):
+    nulls = lambda df: df.withColumn("sec_id", F.when(F.col("sec_id").cast("long") % 5 != 0, F.col("sec_id")))
+    return asof.asof_join(nulls(views(spark, sf)), nulls(feature(spark, sf, "purchase")))
+
+
+@query(_with_nulls(USER, "ts", USER, _some("ts", NOT_THIRD)))
+def asof_null_fact_times(spark, sf):
+    f = feature(spark, sf, "purchase")
+    return asof.asof_join(views(spark, sf), f.withColumn("known_from", F.when(F.col("ingestion_seq") % 3 != 0, F.col("known_from"))))
+
+
+@query(_with_nulls(USER, _some("ts", NOT_THIRD), USER, "ts"))
+def asof_null_observation_times(spark, sf):
+    v = views(spark, sf)
+    return asof.asof_join(v.withColumn("observation_timestamp", F.when(F.col("event_id") % 3 != 0, F.col("observation_timestamp"))), feature(spark, sf, "purchase"))
+
+
 @query(f"WITH {BARS}, {SPLITS} SELECT sec_id, trade_date, (SELECT count(*) FROM splits s WHERE s.sec_id = b.sec_id AND s.known_from <= b.known_from) AS known_splits FROM bars b", dates="trade_date")
 def known_split_count(spark, sf):
     return indicators.known_split_count(bars(spark, sf), splits(spark, sf)).select("sec_id", "trade_date", F.col("known_splits").cast("long").alias("known_splits"))
@@ -293,16 +341,22 @@ def caf_matrix(spark, sf):
     return rounded(rounded(adjustment.caf_matrix(bars(spark, sf), splits(spark, sf), observed_at(spark, sf)), 8, "caf"), 4, "adj_close")
 
 
-@query(f"WITH {CAF} SELECT sec_id, trade_date, round(caf, 8) AS caf FROM caf WHERE observation_timestamp = TIMESTAMP '2001-12-31 21:30:00' AND caf <> 1", dates="trade_date")
+@query(
+    f"""WITH {SPLITS}, asked AS (SELECT sec_id, min(ex_date) - INTERVAL 1 DAY AS trade_date FROM splits GROUP BY sec_id ORDER BY sec_id LIMIT 4)
+    SELECT sec_id, CAST(trade_date AS DATE) AS trade_date, round((SELECT product(1 / split_ratio) FROM splits s WHERE s.sec_id = a.sec_id AND s.ex_date > a.trade_date AND s.ex_date <= DATE '2001-12-31'
+        AND s.known_from <= TIMESTAMP '2001-12-31 21:30:00'), 8) AS caf FROM asked a""",
+    dates="trade_date",
+)
 def caf_scalar(spark, sf):
-    at = observed_at(spark, sf).where("observation_timestamp = timestamp_ntz'2001-12-31 21:30:00'")
-    return rounded(adjustment.caf_matrix(bars(spark, sf), splits(spark, sf), at).where("caf <> 1").select("sec_id", "trade_date", "caf"), 8, "caf")
+    """The factor of four prices, each of the day before its security's first split."""
+    s = splits(spark, sf)
+    asked = s.groupBy("sec_id").agg(F.date_sub(F.min("ex_date"), 1).alias("d")).orderBy("sec_id").limit(4).collect()
+    rows = [(r.sec_id, r.d, adjustment.caf_scalar(s, r.sec_id, r.d, datetime(2001, 12, 31, 21, 30))) for r in asked]
+    return rounded(spark.createDataFrame(rows, "sec_id string, trade_date date, caf double"), 8, "caf")
 
 
 @query(f"WITH {CAF} SELECT sec_id, trade_date, close, round(caf, 8) AS caf, round(close * caf, 4) AS adj_close FROM caf WHERE sec_id = '3' AND observation_timestamp = TIMESTAMP '2001-12-31 21:30:00'", dates="trade_date")
 def adjusted_close_as_of(spark, sf):
-    from datetime import datetime
-
     rows = adjustment.adjusted_close_as_of(bars(spark, sf), splits(spark, sf), datetime(2001, 12, 31, 21, 30), "3")
     return rounded(rounded(rows, 8, "caf"), 4, "adj_close").drop("observation_timestamp")
 
@@ -432,7 +486,7 @@ def _shown(columns: list[str]) -> str:
 
 @query(f"WITH {IND} SELECT sec_id, trade_date, known_splits, {_shown(list(DIGITS))} FROM ind", dates="trade_date")
 def pit_indicators(spark, sf):
-    rows = ind(spark, sf).withColumn("known_splits", F.col("known_splits").cast("long")).drop("known_from")
+    rows = ind(spark, sf).withColumn("known_splits", F.col("known_splits").cast("long")).drop("known_from", "adj_close")
     for c, d in DIGITS.items():
         rows = rounded(rows, d, c)
     return rows
@@ -482,11 +536,8 @@ def eligibility_screen(spark, sf):
 
 @query(f"WITH {WEIGHTS} SELECT observation_timestamp, sec_id, r AS momentum_rank FROM ranked WHERE good AND r <= 10")
 def momentum_topn(spark, sf):
-    from pyspark.sql import Window
-
-    rows = feats(spark, sf).where(strategy.eligible(strategy.StrategyConfig(), "adj_close"))
-    rank = F.row_number().over(Window.partitionBy("observation_timestamp").orderBy(F.desc("momentum_20d"), "sec_id"))
-    return rows.withColumn("momentum_rank", rank).where("momentum_rank <= 10").select("observation_timestamp", "sec_id", F.col("momentum_rank").cast("long").alias("momentum_rank"))
+    rows = strategy.top_momentum(feats(spark, sf))
+    return rows.select("observation_timestamp", "sec_id", F.col("momentum_rank").cast("long").alias("momentum_rank"))
 
 
 def weights(spark, sf) -> DataFrame:
@@ -530,16 +581,16 @@ SIM = f"""{WEIGHTS}, times AS (SELECT observation_timestamp, lead(observation_ti
 
 
 def parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(weights, returns, drifted)."""
-    f = feats(spark, sf)
+    """(weights, returns, drifted). Features are written once: what follows reads them several times."""
+    f = stored(feats(spark, sf))
     w = strategy.target_weights(f)
     r = simulation.period_returns(runner.simulation_prices(f), simulation.next_times(w), "price", splits(spark, sf))
     return w, r, simulation.drifted_weights(w, r)
 
 
-def sim(spark, sf) -> DataFrame:
-    f = feats(spark, sf)
-    return simulation.simulate(strategy.target_weights(f), runner.simulation_prices(f), splits=splits(spark, sf))
+def sim(spark, sf, config: simulation.SimulationConfig | None = None, features: DataFrame | None = None) -> DataFrame:
+    f = features or stored(feats(spark, sf))
+    return simulation.simulate(strategy.target_weights(f), runner.simulation_prices(f), config, splits(spark, sf))
 
 
 @query(f"WITH {SIM} SELECT observation_timestamp, next_timestamp, sec_id, round(asset_return, 8) AS asset_return FROM rets")
@@ -599,28 +650,45 @@ def performance_metrics(spark, sf):
     return metrics.metrics_frame(sim(spark, sf)).select(*[_digits(F.col(n)).alias(n) for n in metrics.NAMES])
 
 
-@query(f"WITH {SIM}, m AS ({METRICS}) SELECT round(0.5 * win_rate, 8) AS win_rate_delta, CAST(NULL AS DOUBLE) AS cagr_delta FROM m")
+FREE = """net0 AS (SELECT observation_timestamp, turnover, gross_return AS net_return FROM net), sim0 AS (SELECT *, product(1 + net_return) OVER (ORDER BY observation_timestamp ROWS UNBOUNDED PRECEDING) AS equity FROM net0),
+    dd0 AS (SELECT *, max(equity) OVER (ORDER BY observation_timestamp ROWS UNBOUNDED PRECEDING) AS peak FROM sim0)"""
+DELTAS = ", ".join(f"CASE WHEN abs(m.{n} - m0.{n}) < 1e-12 THEN 0.0 ELSE CAST(printf('%.5e', m.{n} - m0.{n}) AS DOUBLE) END AS {n}" for n in metrics.NAMES)
+
+
+@query(f"WITH {SIM}, {FREE}, m AS ({METRICS}), m0 AS ({METRICS.replace('FROM dd)', 'FROM dd0)')}) SELECT {DELTAS} FROM m, m0")
 def tear_sheet_delta(spark, sf):
-    """Corrected less leaky, null where either is: a second arm of half the win rate and no growth rate."""
-    m = metrics.metrics_frame(sim(spark, sf))
-    other = m.select((F.col("win_rate") * 0.5).alias("w"), F.lit(None).cast("double").alias("c"))
-    both = m.crossJoin(other)  # one row each
-    return both.select(F.round(F.col("win_rate") - F.col("w") + F.lit(float(nudge(8))), 8).alias("win_rate_delta"), (F.col("cagr") - F.col("c")).alias("cagr_delta"))
+    """The metrics with costs less those of an arm that trades for nothing."""
+    f = stored(feats(spark, sf))
+    sheet = metrics.tear_sheet(sim(spark, sf, simulation.SimulationConfig(0.0), f), sim(spark, sf, None, f))
+    row = tuple(v if v is None else 0.0 if abs(v) < 1e-12 else float(f"{v:.5e}") for v in sheet.delta.as_dict().values())
+    return spark.createDataFrame([row], ", ".join(f"{n} double" for n in metrics.NAMES))
+
+
+#: The leaky arm's bars are adjusted for all splits and known from the morning; its splits are in its prices already.
+LEAKY_BARS = """bars AS (SELECT b.sec_id, b.trade_date, b.close * coalesce((SELECT product(1 / split_ratio) FROM real_splits s WHERE s.sec_id = b.sec_id AND s.ex_date > b.trade_date
+        AND s.ex_date <= (SELECT max(trade_date) FROM real_bars) AND s.known_from <= (SELECT max(trade_date) FROM real_bars) + INTERVAL 23 HOUR), 1) AS close,
+    CAST(b.trade_date AS TIMESTAMP) AS known_from FROM real_bars b)"""
+UNIVERSE = [str(k) for k in range(1, 41)]
+LEAKY = (
+    SIM.replace(GRID, GRID.replace("FROM bars)", "FROM real_bars)").replace("(SELECT DISTINCT sec_id FROM real_bars)", f"(SELECT DISTINCT sec_id FROM real_bars WHERE sec_id IN ({', '.join(f'{chr(39)}{u}{chr(39)}' for u in UNIVERSE)}))"))
+    .replace(BARS, f"{BARS.replace('bars AS', 'real_bars AS', 1)}, {SPLITS.replace('splits AS', 'real_splits AS', 1)}, {LEAKY_BARS}")
+    .replace(f"{LEAKY_BARS}, {SPLITS}", f"{LEAKY_BARS}, splits AS (SELECT * FROM real_splits WHERE false)")
+)
 
 
+@query(f"SELECT 'leaky' AS arm, * FROM (WITH {LEAKY}, m AS ({METRICS}) SELECT {SEVEN} FROM m) UNION ALL SELECT 'corrected' AS arm, * FROM (WITH {SIM}, m AS ({METRICS}) SELECT {SEVEN} FROM m)")
 def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Both arms on the bars: the leaky one knows all splits from the start and each close from the morning."""
-    b, s = bars(spark, sf), splits(spark, sf)
+    """Both arms on the bars: the leaky one knows all splits from the start, each close from the morning, and trades only
+    forty securities that are known to have lasted."""
+    named = lambda df: df.withColumn("sec_id", entity.sec_id_of(F.col("sec_id")))
+    b, s = stored(named(bars(spark, sf))), stored(named(splits(spark, sf)))
     last = b.agg(F.max("trade_date").alias("t")).select(at_time(F.col("t"), 23).alias("observation_timestamp"))
-    whole = adjustment.caf_matrix(b, s, b.select("sec_id").distinct().crossJoin(F.broadcast(last)))
+    whole = adjustment.caf_matrix(b, s, b.select("sec_id").distinct().crossJoin(F.broadcast(last)))  # one time
     adjusted = whole.select("sec_id", "trade_date", F.col("adj_close").alias("close"))
-    g = runner.observation_grid(b)
-    a = feature_plans.features_as_of(g, prices=runner.leaky_prices(adjusted))
-    c = runner.corrected_features(g, b, s)
+    arms = runner.run_comparison(runner.observation_grid(b), b, adjusted, s, leaky_universe=UNIVERSE)
     out = None
-    for name, f, ratio in (("leaky", a, None), ("corrected", c, s)):
-        w = strategy.target_weights(f)
-        m = metrics.metrics_frame(simulation.simulate(w, runner.simulation_prices(f), splits=ratio)).withColumn("arm", F.lit(name))
+    for name, arm in (("leaky", arms.leaky), ("corrected", arms.corrected)):
+        m = metrics.metrics_frame(arm.simulation).withColumn("arm", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.select("arm", *[_digits(F.col(n)).alias(n) for n in metrics.NAMES])
 
@@ -652,5 +720,3 @@ def actionable_timestamp(spark, sf):
     e = events(spark, sf).select("event_id", "ts")
     return with_actionable(e, "ts", calendar_days(spark, date(2023, 12, 25), date(2024, 2, 5)))
 
-
-QUERIES["run_comparison"] = run_comparison

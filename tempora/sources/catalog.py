@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tempora.operators.bitemporal import view_sql
@@ -29,6 +30,16 @@ class Catalog:
         """A lazy frame: its plan joins that of whatever uses it, so columns and conditions reach the scan."""
         return self.spark.sql(sql, args=list(params)) if params else self.spark.sql(sql)
 
+    def query_arrow(self, sql: str, params: Sequence | None = None) -> pa.Table:
+        """The result as an Arrow table, on the driver."""
+        return self.query(sql, params).toArrow()
+
+    def register_arrow(self, name: str, data: pa.Table) -> DataFrame:
+        """A view over an Arrow table."""
+        frame = self.spark.createDataFrame(data)
+        frame.createOrReplaceTempView(name)
+        return frame
+
     def close(self) -> None:
         for view in [*VIEWS, "v_bitemporal_ticker_map", "v_bitemporal_fundamentals"]:
             self.spark.catalog.dropTempView(view)

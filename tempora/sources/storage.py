@@ -1,12 +1,16 @@
 """Append-only Parquet tables, the ingestion log, and files.
 
-Writes go through Spark's commit protocol, so a table never shows half a batch. Loads repeat safely: rows that are
-stored already are left out.
+A batch is written beside its table, in a folder that readers pass over, and its files are then renamed into their
+partitions, each with path, size, hash and number of rows known. Loads repeat safely: rows that are stored already are
+left out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +52,18 @@ def read_table(spark: SparkSession, base: str, table: str, start=None, end=None)
     return rows.select(*[c for c in rows.columns if c not in parts])
 
 
-def append_table(new: DataFrame, base: str, table: str) -> int:
-    """Append the rows that are not stored yet; the number of rows written."""
+@dataclass(frozen=True)
+class WrittenFile:
+    """A file of a batch."""
+
+    path: str
+    size_bytes: int
+    sha256: str
+    row_count: int
+
+
+def append_table(new: DataFrame, base: str, table: str, seq: int = 0) -> list[WrittenFile]:
+    """Append the rows that are not stored yet; the files written, none if there was nothing new. One writer at a time."""
     spark = new.sparkSession
     schema, day, parts = TABLES[table]
     names = spark.createDataFrame([], schema).columns
@@ -57,16 +71,36 @@ def append_table(new: DataFrame, base: str, table: str) -> int:
     path = root_of(base, table)
     if exists(spark, path):
         new = without_persisted(new, read_table(spark, base, table))
-    rows = new
     if "year" in parts:
-        rows = rows.withColumn("year", F.year(day))
+        new = new.withColumn("year", F.year(day))
     if "month" in parts:
-        rows = rows.withColumn("month", F.month(day))
-    n = rows.count()
-    if n:
-        # One file for each partition and batch.
-        (rows.repartition(*parts) if parts else rows.coalesce(1)).write.mode("append").partitionBy(*parts).parquet(path)
-    return n
+        new = new.withColumn("month", F.month(day))
+    batch = f"batch_{seq:06d}_{uuid.uuid4().hex[:8]}"
+    beside = f"{path}/_{batch}"
+    # One file for each partition and batch.
+    (new.repartition(*parts) if parts else new.coalesce(1)).write.partitionBy(*parts).parquet(beside)
+    counts = {r.f: r.n for r in spark.read.schema(names_of(schema, names)).parquet(beside).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    jvm = spark.sparkContext._jvm
+    path_of = jvm.org.apache.hadoop.fs.Path
+    fs = path_of(beside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = []
+    for i, (name, rows) in enumerate(sorted((f, n) for f, n in counts.items() if n)):
+        source = path_of(jvm.java.net.URI.create(name))
+        inside = [x for x in name.split("/")[:-1] if x.partition("=")[0] in parts]
+        target = path_of("/".join([path, *inside, f"{batch}_{i:05d}.parquet"]))
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"{name} could not be moved to {target.toString()}")
+        written.append((target, rows))
+    fs.delete(path_of(beside), True)
+    with ThreadPoolExecutor(8) as pool:
+        hashes = list(pool.map(lambda x: file_sha256(spark, x[0].toString()), written))
+    return [WrittenFile(p.toString(), fs.getFileStatus(p).getLen(), h, n) for (p, n), h in zip(written, hashes, strict=True)]
+
+
+def names_of(schema: str, names: Sequence[str]) -> str:
+    """The first column of a schema: enough to count rows."""
+    return next(c for c in schema.split(", ") if c.startswith(f"{names[0]} "))
 
 
 def read_parquet(spark: SparkSession, path: str, what: str = "table") -> DataFrame:
@@ -92,10 +126,15 @@ def optional_splits(spark: SparkSession, path: str, sec_ids: Sequence[str], end)
     return splits_only(read_parquet(spark, path, "splits"), sec_ids, end)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of all files below a folder, hashed where they lie."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_sha256(spark: SparkSession, path: str) -> str:
+    """The hash of one file, read as a stream."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 class IngestionLog:

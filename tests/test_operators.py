@@ -203,3 +203,84 @@ def test_tickers():
     for bad in ([""], ["A", "a"]):
         with pytest.raises(ValueError):
             entity.normalise_tickers(bad)
+
+
+def test_asof_with_nulls_and_many_views(spark):
+    schema = "sec_id string, v double, known_from timestamp_ntz, trade_date date"
+    f = spark.createDataFrame([("A", 1.0, D(2024, 1, 1), date(2024, 1, 1)), ("A", 2.0, None, None), (None, 3.0, D(2024, 1, 1), None)], schema)
+    o = spark.createDataFrame([("A", D(2024, 1, 2)), ("A", None), (None, D(2024, 1, 2)), ("A", D(2023, 1, 1))], "sec_id string, observation_timestamp timestamp_ntz")
+    for split_by in (None, "month"):
+        got = asof.asof_join(o, f, split_by=split_by)
+        assert got.columns == ["sec_id", "observation_timestamp", "v"]
+        assert {(r.sec_id, r.observation_timestamp): r.v for r in got.collect()} == {("A", D(2024, 1, 2)): 1.0, ("A", None): None, (None, D(2024, 1, 2)): None, ("A", D(2023, 1, 1)): None}
+    assert asof.asof_join(o, f, prefix="px").columns[-1] == "px_v"
+    g = spark.createDataFrame([("A", 7.0, D(2024, 1, 1), D(2024, 1, 2))], "sec_id string, v double, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    many = asof.asof_join_many(o, [f, g])
+    one_by_one = asof.asof_join(asof.asof_join(o, f), g)
+    assert many._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert many.columns == one_by_one.columns == ["sec_id", "observation_timestamp", "v", "v_feature"]
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one_by_one.collect()))
+
+
+def test_features_reject_nulls_and_read_a_catalog(spark, tmp_path):
+    from tempora.plans.features import features_as_of
+    from tempora.sources.catalog import Catalog
+    from tempora.sources.storage import append_table
+
+    bars = _bars(spark, [100.0 + i for i in range(60)])
+    o = spark.createDataFrame([("A", D(2020, 2, 25, 22)), ("B", D(2020, 2, 25, 22))], "sec_id string, observation_timestamp timestamp_ntz")
+    from pyspark.sql import functions as F
+
+    stored = bars.select("sec_id", "trade_date", *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], F.lit(1).cast("long").alias("volume"), "known_from", F.lit(1).cast("long").alias("ingestion_seq"))
+    append_table(stored, str(tmp_path), "market_ohlcv", 1)
+    c = Catalog(spark, str(tmp_path))
+    given, read = features_as_of(o, prices=bars), features_as_of(o, catalog=c)
+    assert sorted(map(repr, given.collect())) == sorted(map(repr, read.collect())) and given.where("sec_id = 'A'").first().adj_close == 155.0
+    assert c.query_arrow("SELECT count(*) AS n FROM fact_market_ohlcv_raw").column("n").to_pylist() == [60]
+    c.register_arrow("tempora_arrow", c.query_arrow("SELECT sec_id, close FROM fact_market_ohlcv_raw"))
+    assert c.query("SELECT max(close) AS m FROM tempora_arrow").first().m == 159.0
+    for bad in [(None, D(2020, 2, 25))], [("A", None)]:
+        with pytest.raises(Exception, match="have a null"):
+            features_as_of(spark.createDataFrame(bad, "sec_id string, observation_timestamp timestamp_ntz"), prices=bars).collect()
+    c.close()
+
+
+def test_rows_that_stand_twice_make_a_simulation_fail(spark):
+    t = [D(2024, 1, d, 21, 30) for d in (1, 2, 3)]
+    w = spark.createDataFrame([(x, "A", 1.0) for x in t], "observation_timestamp timestamp_ntz, sec_id string, weight double")
+    p = spark.createDataFrame([(x, "A", 10.0 + i) for i, x in enumerate(t)], "observation_timestamp timestamp_ntz, sec_id string, price double")
+    assert simulation.simulate(w, p).count() == 2
+    for a, b in ((w.union(w), p), (w, p.union(p))):
+        with pytest.raises(Exception, match="twice"):
+            simulation.simulate(a, b).collect()
+    twice = _bars(spark, [1.0, 2.0]).drop("known_from")
+    with pytest.raises(Exception, match="two bars"):
+        adjustment.latest_bars(twice.union(twice)).collect()
+
+
+def test_prices_between_rebalancing_times_are_passed_over(spark):
+    t = [D(2024, 1, d) for d in (1, 2, 3, 4)]
+    w = spark.createDataFrame([(x, "A", 1.0) for x in (t[0], t[2], t[3])], "observation_timestamp timestamp_ntz, sec_id string, weight double")
+    p = spark.createDataFrame([(x, "A", v) for x, v in zip(t, (10.0, 99.0, 20.0, 10.0))] + [(t[0], "B", 5.0), (t[3], "B", 6.0)], "observation_timestamp timestamp_ntz, sec_id string, price double")
+    got = {(r.sec_id, r.observation_timestamp): r.asset_return for r in simulation.period_returns(p, simulation.next_times(w)).collect()}
+    assert got == {("A", t[0]): 1.0, ("A", t[2]): -0.5}
+
+
+def test_definitions_are_callable_and_hashed():
+    r = FeatureRegistry()
+    d = r.register(name="x", compute_fn=lambda ctx: ctx, tags=["t"])
+    assert d(5) == 5 and r.get("x") is d and d.compute_hash().startswith("sha256:") and len(d.compute_hash()) == 71
+
+
+def test_quarter_ends_and_business_days(spark):
+    from pyspark.sql import functions as F
+
+    from tempora.functions import temporal
+    from tempora.plans import synthetic
+
+    days = [date(2023, 11, 20) + timedelta(i) for i in range(400)]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    for r in df.select("d", temporal.quarter_end(F.col("d")).alias("q"), temporal.previous_quarter_end(F.col("d")).alias("p")).collect():
+        assert r.p == synthetic.quarter_end_before(r.d) and [r.q] == synthetic.quarter_ends(r.p + timedelta(1), r.q) and r.p < r.d <= r.q
+    span = spark.createDataFrame([(days[0], days[-1])], "a date, b date")
+    assert [r.day for r in temporal.business_days(span, "a", "b").orderBy("day").collect()] == synthetic.weekdays(days[0], days[-1])

@@ -65,3 +65,76 @@ def test_command_line(tmp_path, capsys):
     assert main(["lint", str(tmp_path)]) == 1
     assert main(["run-comparison", "--start", "2020-01-01", "--end", "2020-02-01", "--synthetic", "--dry-run"]) == 0
     assert json.loads(capsys.readouterr().out)["sec_ids"][0] == "SEC_AAPL_001"
+
+
+def test_files_of_a_batch_are_logged(spark, tmp_path):
+    import hashlib
+
+    from tempora.sources.storage import append_table, read_parquet
+
+    base = str(tmp_path / "raw")
+    schema = "sec_id string, action_type string, ex_date date, split_ratio double, cash_amount double, announcement_date date, known_from timestamp_ntz, ingestion_seq bigint"
+    row = lambda y, seq: ("A", "SPLIT", date(y, 5, 5), 2.0, None, date(y, 5, 5), datetime(y, 5, 5), seq)
+    first = append_table(spark.createDataFrame([row(2020, 1), row(2021, 1)], schema), base, "corporate_actions", 1)
+    second = append_table(spark.createDataFrame([row(2021, 2), row(2022, 2)], schema), base, "corporate_actions", 2)
+    assert [f.row_count for f in first] == [1, 1] and [f.row_count for f in second] == [1] and "year=2022/batch_000002_" in second[0].path
+    for f in first + second:
+        data = open(f.path.removeprefix("file:"), "rb").read()
+        assert len(data) == f.size_bytes and hashlib.sha256(data).hexdigest() == f.sha256
+    assert append_table(spark.createDataFrame([row(2020, 3)], schema), base, "corporate_actions", 3) == []
+    assert read_parquet(spark, f"{base}/corporate_actions").count() == read_table(spark, base, "corporate_actions").count() == 3
+    assert read_parquet(spark, first[0].path).count() == 1
+    with pytest.raises(ValueError):
+        read_parquet(spark, f"{base}/none")
+
+
+def test_vendor_loader_and_price_basis(spark, tmp_path):
+    from tempora.sources.ingest import check_price_basis, load_preadjusted
+
+    closes = spark.createDataFrame([(date(2020, 8, 27), 1.0), (date(2020, 8, 28), 100.0), (date(2020, 9, 1), 2.0)], "Date date, Close double")
+    got = load_preadjusted(spark, ["aapl", "none"], lambda t: closes if t == "AAPL" else None, date(2020, 8, 28), date(2020, 9, 1)).collect()
+    assert [tuple(r) for r in got] == [("SEC_AAPL_001", date(2020, 8, 28), 100.0)]
+    bars = spark.createDataFrame([(date(2020, 8, 28), 1.0, 2.0, 0.5, 100.0, 10)], "Date date, Open double, High double, Low double, Close double, Volume int")
+    base = str(tmp_path / "raw")
+    ingest_bars(spark, ["AAPL"], lambda t: (bars, spark.createDataFrame([(date(2020, 8, 31), 5.0)], "Date date, ratio double"), None), base)
+    c = Catalog(spark, base)
+    assert check_price_basis(c, {"SEC_AAPL_001": (450.0, 550.0), "SEC_B_001": (1.0, 2.0)}, date(2020, 8, 28)) == {"SEC_AAPL_001": 500.0}
+    with pytest.raises(RuntimeError, match="as traded"):
+        check_price_basis(c, {"SEC_AAPL_001": (90.0, 110.0)}, date(2020, 8, 28))
+    c.close()
+
+
+def test_a_whole_run(tmp_path, capsys, spark):
+    assert main(["run-comparison", "--start", "2020-01-01", "--end", "2020-06-30", "--synthetic", "--artifacts-root", str(tmp_path)]) == 0
+    folder = next(tmp_path.iterdir())
+    names = {p.name for p in folder.iterdir()}
+    assert {"manifest.json", "metrics.json", "report.txt", "report.pdf", *(f"{k}_{a}" for k in ("features", "weights", "equity") for a in ("leaky", "corrected"))} <= names
+    report = (folder / "report.pdf").read_bytes()
+    assert report.startswith(b"%PDF-") and report.rstrip().endswith(b"%%EOF") and b"Drawdown" in report
+    assert json.loads((folder / "manifest.json").read_text())["reproducible"]["inputs"][0]["path"] == "synthetic"
+    with pytest.raises(SystemExit) as e:
+        main(["--version"])
+    assert e.value.code == 0 and "tempora" in capsys.readouterr().out
+
+
+def test_arms_are_compared_over_all_times(spark):
+    from types import SimpleNamespace
+
+    from tempora.plans.runner import compare_arms
+
+    schema = "observation_timestamp timestamp_ntz, net_return double, equity double, turnover double"
+    a, b = (spark.createDataFrame([(datetime(2024, 1, d), 0.1 * k, 1.0 * k, 0.0) for d in days], schema) for k, days in ((1, (1, 2)), (2, (2, 3))))
+    got = {r.observation_timestamp.day: r.equity_delta for r in compare_arms(SimpleNamespace(leaky=SimpleNamespace(simulation=a), corrected=SimpleNamespace(simulation=b))).collect()}
+    assert got == {1: None, 2: 1.0, 3: None}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tempora.session import FALLBACK_DIR, shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("local[4]", None)) == FALLBACK_DIR and shared_dir(session("yarn", "hdfs:///x/")) == "hdfs:///x"
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
