@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints/tempora"
+from tempora.session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,48 +24,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to a table in the shared folder and return the reread table.
+    """Write `df` to a table in the shared folder and return the reread table: see `tempora.session`."""
+    return stored(df)
 
-    This cuts the lineage like a checkpoint, but survives lost executors, is columnar and prunes columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tempora-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, with as many underscores behind it as make it no column of these frames."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Bits of a membership filter: two megabytes of broadcast rows at most, whatever the data's size.
 FILTER_BITS = 1 << 23
 
 
-def with_near(rows: DataFrame, key: Column, wanted: DataFrame, hashes: str) -> DataFrame:
-    """Add `_near`: true for all rows whose hash `key` is in wanted[hashes], false for most others.
+def with_near(rows: DataFrame, key: Column, wanted: DataFrame, hashes: str, name: str = "_near") -> DataFrame:
+    """Add the column `name`: true for all rows whose hash `key` is in wanted[hashes], false for most others.
 
     The filter is a bit map of fixed size, made and broadcast by Spark: what it lets through needs a join still, but
     wide rows that are not wanted never enter a shuffle. The more there are in `wanted`, the more it lets through;
-    results do not depend on it.
+    results do not depend on it. Columns of `rows` stay as they are, whatever their names, but for `name` itself.
     """
     spot = lambda h: F.pmod(h, F.lit(FILTER_BITS))
-    bits = wanted.select((spot(F.col(hashes)) / 64).cast("int").alias("_f_word"), F.lit(1).cast("long").alias("_f_one"), (spot(F.col(hashes)) % 64).cast("int").alias("_f_bit"))
-    bits = bits.groupBy("_f_word").agg(F.bit_or(F.expr("shiftleft(_f_one, _f_bit)")).alias("_f_bits"))  # FILTER_BITS / 64 rows at most
-    out = rows.withColumn("_f_spot", spot(key)).withColumn("_f_word", (F.col("_f_spot") / 64).cast("int"))
-    out = out.join(F.broadcast(bits), "_f_word", "left")
-    near = F.coalesce(F.getbit("_f_bits", (F.col("_f_spot") % 64).cast("int")) == 1, F.lit(False))
-    return out.withColumn("_near", near).drop("_f_spot", "_f_word", "_f_bits").select(*rows.columns, "_near")
-
-
-def without(rows: DataFrame, dropped: DataFrame, key: Column, hashes: str = "_h") -> DataFrame:
-    """The rows whose hash `key` is not in dropped[hashes]; rows far from all of them skip the shuffle."""
-    dropped = materialize(dropped.select(hashes).distinct().withColumnRenamed(hashes, "_dropped"))
-    marked = with_near(rows, key, dropped, "_dropped")
-    left = marked.where("_near").withColumn("_own", key).join(dropped, F.col("_own") == F.col("_dropped"), "left_anti")
-    return marked.where("NOT _near").select(*rows.columns).unionByName(left.select(*rows.columns))
+    at, word, bit, one, bits = (unused(f"_f_{c}", rows) for c in ("spot", "word", "bit", "one", "bits"))
+    marks = wanted.select((spot(F.col(hashes)) / 64).cast("int").alias(word), F.lit(1).cast("long").alias(one), (spot(F.col(hashes)) % 64).cast("int").alias(bit))
+    marks = marks.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.col(one), F.col(bit))).alias(bits))  # FILTER_BITS / 64 rows at most
+    out = rows.withColumn(at, spot(key)).withColumn(word, (F.col(at) / 64).cast("int"))
+    out = out.join(F.broadcast(marks), word, "left")
+    near = F.coalesce(F.getbit(bits, (F.col(at) % 64).cast("int")) == 1, F.lit(False))
+    kept = [c for c in rows.columns if c != name]
+    return out.select(*[F.col(f"`{c}`") for c in kept], near.alias(name))
+
+
+def without(rows: DataFrame, dropped: DataFrame, own: dict[str, Column]) -> DataFrame:
+    """The rows whose values `own` are no row of `dropped`, whose columns have the names of `own`; nulls are equal.
+
+    Rows far from all of them skip the shuffle.
+    """
+    names = {c: unused(f"_d_{c}", rows) for c in own}
+    hashed, near, mine = (unused(c, rows) for c in ("_d_hash", "_d_near", "_d_own"))
+    dropped = dropped.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    dropped = materialize(dropped.withColumn(hashed, F.xxhash64(*names.values())))
+    marked = with_near(rows, F.xxhash64(*own.values()), dropped, hashed, near)
+    some = marked.where(near)
+    same = F.lit(True)
+    for i, (c, n) in enumerate(names.items()):
+        some = some.withColumn(f"{mine}{i}", own[c])
+        same = same & F.col(f"{mine}{i}").eqNullSafe(F.col(n))
+    left = some.join(dropped, same, "left_anti")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.where(~F.col(near)).select(*columns).unionByName(left.select(*columns))
 
 
 def by_few(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
