@@ -14,10 +14,10 @@ import pickle
 import re
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ SCALE = 1 << 16
 #: A cost is (negative log probability) << TIE, plus a number that depends on where pieces end: equal scores are told
 #: apart by it, in the same way however a text is split.
 TIE = 44
-REMEMBERED = 300_000
+REMEMBERED = 60_000  # units that a worker remembers, of the latest twice as many at most
 BLOCK = 64  # chunks whose matrices are combined in one step
 
 #: No piece joins Latin letters to anything but blanks before them, goes on after a blank or holds a line end: a unit
@@ -82,6 +82,7 @@ class Pieces:
         self.unknown = round((math.log(size + 1) + 10) * SCALE) << TIE
         self.single = {c for c, node in self.trie.items() if "" in node}
         self.known: dict[str, tuple[int, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes]] = {}
 
     def forward(self, s: str, a: int, rel: int, n: int, stop: int) -> tuple[list[int | None], list]:
         """Least costs from position a of s, and how they are reached; pieces start before n and end by `stop`.
@@ -124,17 +125,18 @@ class Pieces:
 
     def unit(self, u: str) -> tuple[int, bytes]:
         if (got := self.known.get(u)) is None:
-            got = self.span(u, 0, len(u), 0, len(u))
+            if (got := self.older.get(u)) is None:
+                got = self.span(u, 0, len(u), 0, len(u))
             if len(u) <= 48:
                 if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.known[u] = got
         return got
 
     def encode(self, s: str) -> tuple[int, bytes]:
         """(cost, ids) of a whole text: no piece spans two units, so the best paths of units add up."""
-        known, unit = self.known.get, self.unit
-        got = [known(u) or unit(u) for u in _UNIT.findall(s)]
+        unit = self.unit
+        got = [unit(u) for u in _UNIT.findall(s)]
         return sum([g[0] for g in got]), b"".join([g[1] for g in got])
 
     def decode(self, ids: bytes) -> str:
@@ -303,22 +305,35 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
             made = [pickle.dumps(transfer(pieces, s, n, rel)) for s, n, rel in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["_row", "k", "m"])
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        m = pickle.loads(pdf.m.iloc[0])
-        for x in pdf.m.iloc[1:]:
-            m = combine(m, pickle.loads(x))
-        return pd.DataFrame({"_row": [pdf._row.iloc[0]], "b": [int(pdf.k.iloc[0]) // BLOCK], "m": [pickle.dumps(m)]})
+    def by_group(batches: Iterator[pa.RecordBatch], made: Callable[[list[tuple]], list[tuple]], kinds: list[tuple[str, pa.DataType]], keys: int) -> Iterator[pa.RecordBatch]:
+        """What `made` makes of each group of rows that agree in their first columns."""
+        rows = (r for b in by_few(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, group in groupby(rows, key=lambda r: r[:keys]):
+            columns = zip(*made(list(group)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("b")
-        path = states([pickle.loads(x) for x in pdf.m], 0, 0)
-        return pd.DataFrame({"_row": pdf._row, "b": pdf.b, "entry": path[:-1], "leave": path[1:]})
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(group: list[tuple]) -> list[tuple]:
+            m = pickle.loads(group[0][3])
+            for r in group[1:]:
+                m = combine(m, pickle.loads(r[3]))
+            return [(*group[0][:2], pickle.dumps(m))]
 
-    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        path = states([pickle.loads(x) for x in pdf.m], int(pdf.entry.iloc[0]), int(pdf.leave.iloc[0]))
-        return pd.DataFrame({"_row": pdf._row, "k": pdf.k, "entry": path[:-1], "leave": path[1:]})
+        return by_group(batches, made, [("_row", pa.int64()), ("b", pa.int64()), ("m", pa.binary())], 2)
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(group: list[tuple]) -> list[tuple]:
+            path = states([pickle.loads(r[2]) for r in group], 0, 0)
+            return [(*r[:2], i, j) for r, i, j in zip(group, path[:-1], path[1:], strict=True)]
+
+        return by_group(batches, made, [("_row", pa.int64()), ("b", pa.int64()), ("entry", pa.int64()), ("leave", pa.int64())], 1)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(group: list[tuple]) -> list[tuple]:
+            path = states([pickle.loads(r[3]) for r in group], *group[0][4:])
+            return [(r[0], r[2], i, j) for r, i, j in zip(group, path[:-1], path[1:], strict=True)]
+
+        return by_group(batches, made, [("_row", pa.int64()), ("k", pa.int64()), ("entry", pa.int64()), ("leave", pa.int64())], 2)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
@@ -330,11 +345,13 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
                 costs.append(_path_cost(pieces, ids[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _ids(ids), pa.array(same, pa.bool_()), pa.array(costs, pa.int64())], ["_row", "k", "ids", "same", "cost"])
 
-    chunks = giant.select("_row", "_text").mapInArrow(cut, "_row long, k long, s string, n long, rel long")
+    # A table: what follows reads chunks, dealt out evenly, and no task holds the pieces twice, to cut and to measure.
+    chunks = materialize(giant.select("_row", "_text").mapInArrow(cut, "_row long, k long, s string, n long, rel long").repartition("_row", "k"))
     matrices = materialize(chunks.mapInArrow(measure, "_row long, k long, m binary").withColumn("b", (F.col("k") / BLOCK).cast("long")))
-    blocks = matrices.groupBy("_row", "b").applyInPandas(product, "_row long, b long, m binary")
-    ends = blocks.groupBy("_row").applyInPandas(outer, "_row long, b long, entry long, leave long")
-    bounds = matrices.join(ends, ["_row", "b"]).groupBy("_row", "b").applyInPandas(inner, "_row long, k long, entry long, leave long")
+    ordered = lambda df, *by: df.repartition(*[c for c in by if c != "k"]).sortWithinPartitions(*by)
+    blocks = ordered(matrices.select("_row", "b", "k", "m"), "_row", "b", "k").mapInArrow(product, "_row long, b long, m binary")
+    ends = blocks.repartition("_row").sortWithinPartitions("_row", "b").mapInArrow(outer, "_row long, b long, entry long, leave long")
+    bounds = ordered(matrices.join(ends, ["_row", "b"]).select("_row", "b", "k", "m", "entry", "leave"), "_row", "b", "k").mapInArrow(inner, "_row long, k long, entry long, leave long")
     traced = chunks.join(bounds, ["_row", "k"]).select("_row", "k", "s", "n", "rel", "entry", "leave").mapInArrow(finish, "_row long, k long, ids array<int>, same boolean, cost long")
     joined = traced.groupBy("_row").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"),  # the ids of one text
@@ -357,7 +374,11 @@ def _path_cost(pieces: Pieces, ids: bytes) -> int:
 
 
 def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """The text of ids: (key, text). Null ids give a null text."""
+    """The text of ids: (key, text), row by row.
+
+    Null ids give a null text, no ids an empty one; null keys and repeated rows are kept; an empty table gives none; a
+    long list is decoded as a whole; only the two named columns are read.
+    """
     rows = encoded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
     kind = rows.schema["_key"].dataType.simpleString()
 
