@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ship
+from tempora.llm.common import by_few, materialize, ship
 
 ship(__name__)
 
@@ -29,6 +29,8 @@ APART = ".-_*~^'`·#/\\:,;=&%"
 #: n-grams are counted in so many buckets; orders 1 to 4. It bounds the model, whatever the alphabet.
 BUCKETS = (1 << 12, 1 << 16, 1 << 18, 1 << 19)
 BACKOFF = 6.0
+#: Costs and readings that a worker remembers; beyond it the memory starts anew. It bounds memory, not results.
+REMEMBERED = 100_000
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -61,7 +63,7 @@ def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(b, np.int64) for b in BUCKETS]
-        for b in batches:
+        for b in by_few(batches):
             whole = "\n".join(t for t in b.column(0).to_pylist() if t)
             for at in range(0, len(whole), 1 << 20):
                 cp = _folded("\n" + whole[at : at + (1 << 20)] + "\n")
@@ -100,6 +102,8 @@ class CharModel:
             p = (self._count(c) + 0.1) / (self.total + 10.0)
             for k in range(1, len(past) + 1):
                 p = (self._count(past[-k:] + c) + BACKOFF * p) / (self._count(past[-k:]) + BACKOFF)
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
             got = self.known[past + c] = -math.log(min(1.0, p))
         return got
 
@@ -146,7 +150,7 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 class Restorer:
     """Restores whole texts to words; remembers the readings of short chunks."""
 
-    def __init__(self, model: CharModel, remembered: int = 200_000):
+    def __init__(self, model: CharModel, remembered: int = REMEMBERED):
         self.model, self.known, self.remembered = model, {}, remembered
 
     def _read(self, chunk: str) -> list[str]:
@@ -225,17 +229,16 @@ def fit(sample: DataFrame, model_of, *, width: int = 4096, least: int = 5) -> di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model_of())
-        for b in batches:
+        for b in by_few(batches):
             found = [list(features(restorer.words(t))) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1)], ["f", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1), b.column(2)], ["f", "toxic", "id"])
 
-    seen = sample.dropDuplicates(["text"]).select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = seen.mapInArrow(run, "f array<string>, toxic int").withColumn("id", F.monotonically_increasing_id())
-    rows = rows.persist()  # a bounded sample; lost blocks are made again
+    # Equal texts count once, as toxic if one of them is.
+    seen = sample.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("id", F.xxhash64("text"))
+    rows = materialize(seen.mapInArrow(run, "f array<string>, toxic int, id long"))
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        rows.unpersist()
         return {"": (4.0 if n1 and not n0 else -4.0, 0.0)}
     a, b = F.col("a"), F.col("b")
     ratio = lambda x, m: F.when(x > 0, x * F.log(x * (n1 + n0) / ((a + b) * m))).otherwise(0.0)
@@ -248,7 +251,6 @@ def fit(sample: DataFrame, model_of, *, width: int = 4096, least: int = 5) -> di
     index = {w: i for i, w in enumerate(names)}
     kept = F.filter("f", lambda w: w.isin(names)) if len(names) <= 64 else F.array_intersect("f", F.lit(names))
     data = [([index[w] for w in r.f], r.toxic) for r in rows.select(kept.alias("f"), "toxic", "id").orderBy("id").collect()]
-    rows.unpersist()
     *weights, bias = _logistic(data, len(names))
     return {n: (w, alone[n]) for n, w in zip(names, weights, strict=True) if w} | {"": (bias, 0.0)}
 
@@ -308,7 +310,7 @@ def score_toxicity(
         restorer, weights = Restorer(model_of()), dict(shared.value)
         bias, _ = weights.pop("")
         lengths = sorted({len(x) - 1 for x in weights if x.endswith("*")})
-        for b in batches:
+        for b in by_few(batches):
             scores, sizes = [], []
             for t in b.column(1).to_pylist():
                 words = restorer.words(t)
@@ -331,8 +333,8 @@ def score_toxicity(
 def char_model(docs: DataFrame, text: str = "text"):
     """Count the corpus; return a function that gives the model on a worker. The counts have a fixed number of cells."""
     counts = np.zeros(sum(BUCKETS), np.int64)
-    for r in ngram_counts(docs, text).toLocalIterator():
-        counts[r.cell] = r.n
+    counted = ngram_counts(docs, text).toArrow()  # as many rows as cells at most
+    counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     return lambda: CharModel(shared.value)
 
@@ -345,7 +347,7 @@ def restore_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model_of())
-        for b in batches:
+        for b in by_few(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(restorer.words(t)) for t in b.column(1).to_pylist()], pa.string())], ["_key", "restored"])
 
     return rows.mapInArrow(run, f"_key {kind}, restored string").withColumnRenamed("_key", key)
