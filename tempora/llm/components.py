@@ -8,29 +8,25 @@ from pyspark.sql import functions as F
 from tempora.llm.common import materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", *, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id of an edge with the smallest id it is connected to.
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest of them. The groups are
-    summed up by a minimum, which combines before the shuffle, and joined back, which adaptive execution can split: a
-    node of any degree fits. Self-loops and repeated edges are harmless, null ends are dropped, an empty table gives
-    none. Each round is a table in the shared folder.
+    summed up by a minimum, which combines before the shuffle, written, and joined back, which adaptive execution can
+    split: a node of any degree fits. Rounds go on until all are stars; each lowers a label or settles, so they end.
+    Self-loops and repeated edges are harmless, null ends are dropped, an empty table gives none. Each round's tables
+    are in the shared folder.
     """
     edges = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
     edges = materialize(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct())
+        least = materialize(large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")))
         small = large.join(least, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).where("u < v").union(least.select(F.col("m").alias("u"), "v")).distinct()
-        new = materialize(small)
-        # Done when all are stars: no node is both a centre and a leaf.
-        open_ends = new.select(F.col("u").alias("x")).distinct().join(new.select(F.col("v").alias("x")).distinct(), "x", "left_semi")
-        multiple = new.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        edges = new
-        if open_ends.isEmpty() and multiple.isEmpty():
+        edges = materialize(small)
+        # Done when all are stars: every leaf has one centre, which is no leaf.
+        if least.where("n > 1").isEmpty() and edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-    else:
-        raise ValueError("components did not settle")
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())

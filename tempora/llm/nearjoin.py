@@ -1,9 +1,12 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts with the same set of word shingles are one node. MinHash bands propose; what they propose forms small groups.
-Within a group pairs are compared by MinHash values, some at a time: a pair is dropped as soon as the posterior
+Texts with the same set of word shingles are one node. MinHash bands propose pairs: those that share a cell, that is a
+band's values. Proposed pairs are compared by MinHash values, some at a time: a pair is dropped as soon as the posterior
 probability that its similarity reaches the threshold falls below a tolerance. What is left is verified on the sets.
-Groups are cut into blocks of bounded size and pairs never become rows: a block gives one row for each of its texts.
+
+Texts that proposals connect meet in one block, where each travels once. Where these are too many for a block, they meet
+by cells, and a pair is compared in the first cell that it shares; a cell of too many texts is cut into blocks. Only
+proposed pairs are ever compared, and they never become rows: a block gives one row for each of its texts.
 """
 
 from __future__ import annotations
@@ -62,25 +65,54 @@ def least_matches(threshold: float, total: int, step: int, tolerance: float) ->
     return out
 
 
+def cells_of(signs: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """A number for each band of signatures: (texts, bands)."""
+    h = signs.astype(np.uint64).reshape(len(signs), -1, rows)
+    cell = np.zeros(h.shape[:2], np.uint64)
+    for r in range(rows):
+        cell = cell * np.uint64(0xD6E8FEB86659FD93) + h[:, :, r] + np.uint64(1)
+    return (cell ^ (cell >> np.uint64(29))).view(np.int64)
+
+
 class Block:
-    """Texts of a group: shingle sets, MinHash values, number of copies."""
+    """Texts that meet: shingle sets, MinHash values, cells, number of copies."""
 
-    def __init__(self, ids: list[int], texts: list[str], copies: list[int], coefficients: tuple[np.ndarray, np.ndarray], k: int):
+    def __init__(self, ids: list[int], texts: list[str], copies: list[int], coefficients: tuple[np.ndarray, np.ndarray], k: int, rows: int = ROWS):
         self.ids, self.copies = ids, np.array(copies, np.int64)
         self.sets = [shingle_set(t, k) for t in texts]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.signs = np.stack([signature(s, *coefficients) for s in self.sets])
+        self.cells = cells_of(self.signs, rows)
+        self._order = self.cells.argsort(axis=0, kind="stable")
+        self._sorted = np.take_along_axis(self.cells, self._order, 0)
 
+    def sharing(self, cells: np.ndarray) -> np.ndarray:
+        """The texts that share a cell with one whose cells these are, in order."""
+        found = []
+        for band, c in enumerate(cells.tolist()):
+            column = self._sorted[:, band]
+            x, y = np.searchsorted(column, c), np.searchsorted(column, c, "right")
+            if x < y:
+                found.append(self._order[x:y, band])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-def linked(x: Block, y: Block, threshold: float, looks: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each text of x the texts of y that it is linked to; if y is x, only later ones."""
+
+def linked(x: Block, y: Block, threshold: float, looks: list[tuple[int, int]], band: int = -1) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text of x the texts of y that it is linked to; if y is x, only later ones.
+
+    Pairs are those that share a cell; with a `band`, in which all of these texts share one, those that share none before.
+    """
     everything, place = np.unique(np.concatenate(y.sets), return_inverse=True)
     first = np.concatenate([[0], np.cumsum(y.sizes)])
     mark = np.zeros(len(everything) + 1, bool)
     for i, own in enumerate(x.sets):
-        left = np.arange(i + 1, len(y.ids)) if y is x else np.arange(len(y.ids))
+        left = np.arange(len(y.ids)) if band >= 0 else y.sharing(x.cells[i])
+        if y is x:
+            left = left[left > i]
         n = len(own)
         left = left[(y.sizes[left] >= threshold * n - 1e-9) & (y.sizes[left] * threshold <= n + 1e-9)]
+        if band > 0:
+            left = left[~(y.cells[left, :band] == x.cells[i, :band]).any(axis=1)]
         done, same = 0, np.zeros(len(left), np.int64)
         for upto, least in looks:
             if not len(left):
@@ -104,7 +136,7 @@ def linked(x: Block, y: Block, threshold: float, looks: list[tuple[int, int]]) -
             yield i, found
 
 
-def compare_blocks(x: Block, y: Block, threshold: float, looks: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+def compare_blocks(x: Block, y: Block, threshold: float, looks: list[tuple[int, int]], band: int = -1) -> Iterator[tuple[int, int, int]]:
     """(id, links to texts of the other block counting copies, smallest id it is joined to in these two blocks)."""
     alone = y is x
     ids = x.ids if alone else x.ids + y.ids
@@ -118,7 +150,7 @@ def compare_blocks(x: Block, y: Block, threshold: float, looks: list[tuple[int,
         return v
 
     shift = 0 if alone else len(x.ids)
-    for i, found in linked(x, y, threshold, looks):
+    for i, found in linked(x, y, threshold, looks, band):
         links[i] += y.copies[found].sum()
         links[found + shift] += x.copies[i]
         for j in (found + shift).tolist():
@@ -163,11 +195,7 @@ def jaccard_join(
                     cells.append(None)
                     continue
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                h = signature(s, a, b).astype(np.uint64).reshape(bands, rows)
-                cell = np.zeros(bands, np.uint64)
-                for r in range(rows):
-                    cell = cell * np.uint64(0xD6E8FEB86659FD93) + h[:, r] + np.uint64(1)
-                cells.append((cell ^ (cell >> np.uint64(29))).view(np.int64))
+                cells.append(cells_of(signature(s, a, b)[None], rows)[0])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["_key", "_tv", "_node", "_n", "_cells"]
             )
@@ -180,33 +208,39 @@ def jaccard_join(
     nodes = materialize(named.withColumn("_id", F.monotonically_increasing_id()))
 
     cells = nodes.select("_id", F.posexplode("_cells").alias("_band", "_cell"))
-    least = cells.groupBy("_band", "_cell").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    groups = components(cells.join(least, ["_band", "_cell"]).select(F.col("_first").alias("a"), F.col("_id").alias("b")))
+    least = cells.groupBy("_band", "_cell").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
+    shared = materialize(cells.join(least, ["_band", "_cell"]))
+    groups = components(shared.select(F.col("_first").alias("a"), F.col("_id").alias("b")))
     inside = materialize(groups.join(nodes.select("_id", "_n", "_copies", "_one"), F.col("id") == F.col("_id")).select("_id", "component", "_n", "_copies", F.col("_one._key").alias("_k"), F.col("_one._tv").alias("_v")))
-    sizes = inside.groupBy("component").agg(F.ceil(F.sum("_n") / F.lit(block_shingles)).cast("int").alias("_blocks"))
-    wanted = inside.join(sizes, "component")
+    total = inside.groupBy("component").agg(F.sum("_n").alias("_total"))
+    sized = inside.select("_id", "component", "_n").join(total, "component").select("_id", "component", "_n", (F.col("_total") > block_shingles).alias("_large"))
+    together = sized.where("NOT _large").select("_id", F.col("component").alias("_g"), F.lit(-1).alias("_band"), F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(0).alias("_own"))
+    # Large groups meet by cells.
+    by_cell = sized.where("_large").select("_id", "_n").join(shared.select("_id", "_band", "_cell"), "_id")
+    cuts = by_cell.groupBy("_band", "_cell").agg(F.ceil(F.sum("_n") / F.lit(block_shingles)).cast("int").alias("_blocks"))
+    by_cell = by_cell.join(cuts, ["_band", "_cell"]).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    by_cell = by_cell.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    by_cell = by_cell.select("_id", F.col("_cell").alias("_g"), "_band", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own")
     # Few texts are wanted: the others do not enter the join's shuffle.
-    texts = with_near(source, F.col("_tv"), inside, "_v").where("_near").join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_tv") == F.col("_v")))
-    texts = texts.select("_id", "component", "_blocks", "_copies", "_text").dropDuplicates(["_id"])
-    own = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
-    dealt = texts.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_id", "_copies", "_text")
-    dealt = dealt.repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "_own", "_id")
+    texts = with_near(source, F.col("_tv"), inside, "_v").where("_near").join(inside.select("_id", "_copies", "_k", "_v"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_tv") == F.col("_v")))
+    texts = texts.select("_id", "_copies", "_text").dropDuplicates(["_id"])
+    dealt = together.unionByName(by_cell).join(texts, "_id").select("_g", "_band", "_i", "_j", "_own", "_id", "_copies", "_text")
+    dealt = dealt.repartition("_g", "_band", "_i", "_j").sortWithinPartitions("_g", "_band", "_i", "_j", "_own", "_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coefficients = _coefficients(n_hashes)
 
         def rows_of() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)
+            for batch in by_few(batches):
+                yield from zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True)
 
         out: list[tuple[int, int, int]] = []
-        for (_, first, second), group in groupby(rows_of(), key=lambda r: r[:3]):
-            parts = [Block([r[4] for r in part], [r[6] for r in part], [r[5] for r in part], coefficients, shingle) for part in (list(g) for _, g in groupby(group, key=lambda r: r[3]))]
+        for (_, band, first, second), group in groupby(rows_of(), key=lambda r: r[:4]):
+            parts = [Block([r[5] for r in part], [r[7] for r in part], [r[6] for r in part], coefficients, shingle, rows) for part in (list(g) for _, g in groupby(group, key=lambda r: r[4]))]
             i, j = parts[0], parts[-1]
             if len(parts) == 1 and first != second:
                 continue  # one of the two blocks is empty
-            out += compare_blocks(i, j, threshold, looks)
+            out += compare_blocks(i, j, threshold, looks, band)
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
