@@ -2,16 +2,15 @@
 
 Two codebooks, one for each half of a vector, form a product grid of cells (Babenko and Lempitsky, "The Inverted
 Multi-Index"). A vector is stored in its nearest cell and searches the nearest cells in the order of the multi-sequence
-algorithm, as many as the target recall asks for; every candidate is verified by its exact cosine. Cells and searches
-are cut into blocks of bounded size; pairs never become rows.
+algorithm, as many as the target recall asks for; every candidate is verified by its exact cosine. Neighbouring cells
+share a block, so that a search travels once for all the cells it visits there; blocks of many rows are cut; pairs
+never become rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,10 @@ RECALL = 0.998
 SAMPLE = 20_000  # vectors that the codebooks and the number of visits are fitted on
 PER_CELL = 200  # vectors aimed at for a cell: the grid grows with the table
 MOST_WORDS = 1024  # code words of a half
-MOST_VISITS = 64
-MEMBERS, SEARCHES = 2048, 8192  # rows of a block
+PROBES = 4000  # vectors of the sample whose partners say how many cells a search has to visit
+MEMBERS, SEARCHES = 16_384, 65_536  # rows of a block
+PAIRS = 1 << 20  # cosines computed at a time
+ROUNDING = 1e-9  # cosines so near to the threshold are computed again, in one order of the two vectors
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -62,33 +63,58 @@ def sequence(first: np.ndarray, second: np.ndarray, visits: int) -> np.ndarray:
 
 
 class Index:
-    """Codebooks for vectors of one length, and how many cells a search visits."""
+    """Codebooks for vectors of one length, how many cells a search visits, how many blocks a row of cells makes."""
 
     def __init__(self, sample: np.ndarray, n_rows: int, threshold: float, recall: float):
         rng = np.random.default_rng(11)
-        self.half = max(1, sample.shape[1] // 2)
+        half = max(1, sample.shape[1] // 2)
         k = int(max(1, min(MOST_WORDS, len(sample) // 4, math.sqrt(n_rows / PER_CELL))))
-        self.books = [kmeans(np.ascontiguousarray(x), k, rng) for x in (sample[:, : self.half], sample[:, self.half :])]
+        self.books = [kmeans(np.ascontiguousarray(x), k, rng) for x in (sample[:, :half], sample[:, half:])]
         # Partners at the threshold itself, the hardest ones: in which visit would they be found?
-        own = sample[: min(len(sample), 4000)]
+        own = sample[: min(len(sample), PROBES)]
         noise = rng.normal(size=own.shape)
         noise -= (noise * own).sum(1)[:, None] * own
         noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-30)[:, None]
-        partner = threshold * own + math.sqrt(1 - threshold * threshold) * noise
-        seen = self.cells(own, MOST_VISITS) == self.cells(partner, 1)
-        rank = np.where(seen.any(axis=1), seen.argmax(axis=1), seen.shape[1])
-        self.visits = int(min(seen.shape[1], np.quantile(rank, recall) + 1))
+        target = cells_of(self.books, threshold * own + math.sqrt(1 - threshold * threshold) * noise, 1)
+        visits = 16
+        while True:
+            seen = cells_of(self.books, own, visits) == target
+            self.recall = float(seen.any(axis=1).mean())
+            if self.recall >= recall or visits >= k * k:
+                break
+            visits *= 2
+        rank = np.where(seen.any(axis=1), seen.argmax(axis=1), seen.shape[1] - 1)
+        self.visits = int(min(seen.shape[1], np.quantile(rank, min(1.0, recall), method="higher") + 1))
+        self.parts = int(min(k, max(1, math.ceil(n_rows / (k * MEMBERS)))))
 
-    def cells(self, x: np.ndarray, visits: int) -> np.ndarray:
-        return sequence(distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1]), visits)
+    def plain(self) -> tuple[list[np.ndarray], int, int]:
+        """What workers need, without this class."""
+        return self.books, self.visits, self.parts
 
 
-def unit(rows: list) -> np.ndarray:
+def cells_of(books: list[np.ndarray], x: np.ndarray, visits: int) -> np.ndarray:
+    half = books[0].shape[1]
+    return sequence(distances(x[:, :half], books[0]), distances(x[:, half:], books[1]), visits)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
     """Unit vectors, in double precision."""
-    x = np.array(rows, np.float64)
+    x = x.astype(np.float64)
+    top = np.abs(x).max(axis=1)[:, None]  # first, so that squares neither vanish nor overflow
+    x = x / top
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def rows_of_equal_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, vectors) for each length in a list column without nulls, read as whole arrays."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        yield at, values[offsets[at][:, None] + np.arange(n)]
+
+
 def near_vectors(
     vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE
 ) -> DataFrame:
@@ -110,58 +136,72 @@ def near_vectors(
     nodes = materialize(named.withColumn("_id", F.monotonically_increasing_id()))
 
     lengths = nodes.groupBy(F.size("_x").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    chosen = nodes.orderBy("_v", "_id").limit(sample).select("_x").collect()
     totals = {r.n: r.rows for r in lengths.orderBy(F.desc("rows"), "n").limit(64).collect()}
-    by_length: dict[int, list] = {}
-    for r in chosen:
-        by_length.setdefault(len(r._x), []).append(r._x)
-    indexes = {n: Index(unit(own), totals[n], threshold, recall) for n, own in by_length.items() if n > 1 and len(own) >= 8 and n in totals}
-    shared = spark.sparkContext.broadcast(indexes)  # 2 * 1024 code words at most for each length
+    chosen = nodes.orderBy("_v", "_id").limit(sample).select("_x").toArrow().column(0).combine_chunks()
+    indexes = {x.shape[1]: Index(unit(x), totals[x.shape[1]], threshold, recall) for _, x in rows_of_equal_length(chosen) if len(x) >= 8 and x.shape[1] > 1 and x.shape[1] in totals}
+    shared = spark.sparkContext.broadcast({n: i.plain() for n, i in indexes.items()})  # 2 * 1024 code words at most for each length
 
     element = nodes.schema["_x"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in by_few(batches, 2048):
-            xs = b.column(1).to_pylist()
-            cells: list[list[int]] = [[0]] * len(xs)
-            for n in Counter(map(len, xs)):
-                if n in known:
-                    at = [i for i, x in enumerate(xs) if len(x) == n]
-                    for i, c in zip(at, known[n].cells(unit([xs[i] for i in at]), known[n].visits).tolist(), strict=True):
-                        cells[i] = c
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells, pa.list_(pa.int32()))], ["_id", "_x", "_copies", "_cells"])
-
-    placed = materialize(nodes.select("_id", "_x", "_copies").mapInArrow(place, f"_id long, _x {element}, _copies long, _cells array<int>"))
-    placed = placed.withColumn("_n", F.size("_x"))
-    members = placed.select("_n", F.element_at("_cells", 1).alias("_cell"), "_id", "_x", "_copies")
-    searches = placed.select("_n", F.explode("_cells").alias("_cell"), "_id", "_x", "_copies")
-    m_sizes = members.groupBy("_n", "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("_mb"))
-    s_sizes = searches.select("_n", "_cell").groupBy("_n", "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(SEARCHES)).cast("int").alias("_sb"))
-    grid = m_sizes.join(s_sizes, ["_n", "_cell"])
+            # Of each row its cell, its block, and the blocks that it searches with the cells there.
+            own, home, blocks, cells = [0] * b.num_rows, [0] * b.num_rows, [[0]] * b.num_rows, [[[0]]] * b.num_rows
+            for at, x in rows_of_equal_length(b.column(1)):
+                if x.shape[1] not in known:
+                    continue
+                books, visits, parts = known[x.shape[1]]
+                k = len(books[1])
+                found = cells_of(books, unit(x), visits)
+                block = found // k * parts + found % k * parts // k
+                order = np.argsort(block, axis=1, kind="stable")
+                found, block, first = np.take_along_axis(found, order, 1), np.take_along_axis(block, order, 1), (found[:, 0], block[:, 0])
+                for i, c, g, row, named in zip(at.tolist(), first[0].tolist(), first[1].tolist(), found.tolist(), block.tolist(), strict=True):
+                    cuts = [j for j in range(len(named)) if not j or named[j] != named[j - 1]] + [len(named)]
+                    own[i], home[i] = c, g
+                    blocks[i], cells[i] = [named[j] for j in cuts[:-1]], [row[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            lists = [pa.array(blocks, pa.list_(pa.int32())), pa.array(cells, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(own, pa.int32()), pa.array(home, pa.int32()), *lists], ["_id", "_x", "_copies", "_own", "_home", "_blocks", "_cells"])
+
+    placed = nodes.select("_id", "_x", "_copies").mapInArrow(place, f"_id long, _x {element}, _copies long, _own int, _home int, _blocks array<int>, _cells array<array<int>>")
+    placed = materialize(placed).withColumn("_n", F.size("_x"))
+    members = placed.select("_n", F.col("_home").alias("_g"), "_id", "_copies", "_own", F.flatten("_cells").alias("_cells"), "_x")
+    searches = placed.select("_n", "_id", "_copies", "_own", "_x", F.explode(F.arrays_zip("_blocks", "_cells")).alias("_s"))
+    searches = searches.select("_n", F.col("_s._blocks").alias("_g"), "_id", "_copies", "_own", F.col("_s._cells").alias("_cells"), "_x")
+    m_sizes = members.groupBy("_n", "_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("_mb"))
+    s_sizes = placed.select("_n", F.explode("_blocks").alias("_g")).groupBy("_n", "_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(SEARCHES)).cast("int").alias("_sb"))
+    grid = m_sizes.join(s_sizes, ["_n", "_g"])
 
     def dealt(side: DataFrame, kind: int, own: str, other: str) -> DataFrame:
-        side = side.join(grid, ["_n", "_cell"])
+        side = side.join(grid, ["_n", "_g"])
         block = F.pmod(F.xxhash64("_id"), F.col(own)).cast("int")
         side = side.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         i, j = (block, F.col("_o")) if kind == 0 else (F.col("_o"), block)
-        return side.select("_n", "_cell", i.alias("_i"), j.alias("_j"), F.lit(kind).alias("_kind"), "_id", "_copies", "_x")
+        return side.select("_n", "_g", i.alias("_i"), j.alias("_j"), F.lit(kind).alias("_kind"), "_id", "_copies", "_own", "_cells", "_x")
 
     blocks = dealt(members, 0, "_mb", "_sb").union(dealt(searches, 1, "_sb", "_mb"))
-    order = ["_n", "_cell", "_i", "_j"]
+    order = ["_n", "_g", "_i", "_j"]
     blocks = blocks.repartition(*order).sortWithinPartitions(*order, "_kind", "_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of() -> Iterator[tuple]:
-            for b in by_few(batches, 1024):
-                yield from zip(*(b.column(c).to_pylist() for c in range(8)), strict=True)
-
-        for _, group in groupby(rows_of(), key=lambda r: r[:4]):
-            sides: tuple[list, list] = ([], [])
-            for r in group:
-                sides[r[4]].append(r[5:])
+        def made(key: tuple, sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
             if sides[0] and sides[1]:
-                yield _block(*sides, threshold)
+                yield _block(*(Side(parts, key[0]) for parts in sides), threshold)
+
+        now, sides = None, ([], [])
+        for b in by_few(batches, 8192):
+            heads = np.stack([b.column(c).to_numpy() for c in range(5)], axis=1)
+            cut = np.concatenate([[0], np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1, [len(heads)]])
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if x == y:
+                    continue
+                *key, kind = heads[x].tolist()
+                if key != now:
+                    yield from made(now, sides)
+                    now, sides = key, ([], [])
+                sides[kind].append(tuple(b.column(c).slice(x, y - x) for c in range(5, 10)))
+        yield from made(now, sides)
 
     found = materialize(blocks.mapInArrow(compare, "id long, links long, root long"))
     classes = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -176,36 +216,80 @@ def near_vectors(
     return out.select(F.col("_key").alias(key), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("_key").eqNullSafe(component)).alias("kept"))
 
 
-def _block(members: list[tuple], searches: list[tuple], threshold: float) -> pa.RecordBatch:
-    """(id, links found by this search counting copies, root) of all vectors of a block that are linked."""
-    x, y = unit([r[2] for r in members]), unit([r[2] for r in searches])
-    copies = np.array([r[1] for r in members], np.int64)
-    ids = [r[0] for r in members]
-    at = {v: i for i, v in enumerate(ids)}
-    for r in searches:
-        if r[0] not in at:
-            at[r[0]] = len(ids)
-            ids.append(r[0])
-    root, links = list(range(len(ids))), [0] * len(ids)
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for start in range(0, len(searches), 512):
-        near = y[start : start + 512] @ x.T >= threshold
-        for q, row in enumerate(near, start):
-            own = at[searches[q][0]]
-            hits = np.flatnonzero(row)
-            for j in hits.tolist():
-                if j != own:
-                    links[own] += int(copies[j])
-                    a, b = find(own), find(j)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-    touched = [v for v in range(len(ids)) if links[v] or find(v) != v]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([ids[v] for v in touched], pa.int64()), pa.array([links[v] for v in touched], pa.int64()), pa.array([ids[find(v)] for v in touched], pa.int64())], ["id", "links", "root"]
-    )
+class Side:
+    """The members or the searches of a block: ids, numbers of copies, own cells, cells searched, unit vectors."""
+
+    def __init__(self, parts: list[tuple[pa.Array, ...]], n: int):
+        whole = [pa.concat_arrays([p[c] for p in parts]) for c in range(5)]
+        self.ids, self.copies, self.own = (whole[c].to_numpy() for c in range(3))
+        self.cells = whole[3].values.to_numpy()
+        self.ends = whole[3].offsets.to_numpy()
+        x = whole[4]
+        self.x = unit(x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()].reshape(-1, n))
+
+    def searching(self) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, row) of all cells searched, by cell."""
+        rows = np.repeat(np.arange(len(self.ids)), np.diff(self.ends))
+        cells = self.cells[self.ends[0] : self.ends[-1]]
+        order = np.argsort(cells, kind="stable")
+        return cells[order], rows[order]
+
+
+def _block(members: Side, searches: Side, threshold: float) -> pa.RecordBatch:
+    """(id, links counting copies, root) of all vectors of a block that are linked.
+
+    A pair is found by either of the two, or by both. A search counts what it finds; where the found one does not
+    search the cell of the finder, the link is counted for it too.
+    """
+    ids, where = np.unique(np.concatenate([members.ids, searches.ids]), return_inverse=True)
+    of_member, of_search = where[: len(members.ids)], where[len(members.ids) :]
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    by_cell = np.argsort(members.own, kind="stable")
+    stored = members.own[by_cell]
+    cells, rows = searches.searching()
+    # Which member searches which cell, as sorted numbers.
+    width = 1 + max(int(x.max(initial=0)) for x in (members.cells, searches.own))
+    asked = np.sort(np.repeat(np.arange(len(members.ids)), np.diff(members.ends)) * width + members.cells[members.ends[0] : members.ends[-1]])
+    for cell in np.unique(stored).tolist():
+        own = by_cell[np.searchsorted(stored, cell) : np.searchsorted(stored, cell, "right")]
+        asking = rows[np.searchsorted(cells, cell) : np.searchsorted(cells, cell, "right")]
+        x = members.x[own]
+        step = max(1, PAIRS // len(own))
+        for start in range(0, len(asking), step):
+            some = asking[start : start + step]
+            cosine = searches.x[some] @ x.T
+            q, m = np.nonzero(cosine >= threshold - ROUNDING)
+            near = cosine[q, m]
+            q, m = some[q], own[m]
+            a, b = of_search[q], of_member[m]
+            unsure = np.flatnonzero(np.abs(near - threshold) <= ROUNDING)
+            if len(unsure):
+                first = (a < b)[unsure, None]
+                u, v = searches.x[q[unsure]], members.x[m[unsure]]
+                near[unsure] = (np.where(first, u, v) * np.where(first, v, u)).sum(axis=1)
+            keep = (near >= threshold) & (a != b)
+            q, m, a, b = q[keep], m[keep], a[keep], b[keep]
+            if not len(q):
+                continue
+            np.add.at(links, a, members.copies[m])
+            # Does the member search the finder's own cell, so that it counts the link itself?
+            wanted = m * width + searches.own[q]
+            one_way = asked[np.minimum(np.searchsorted(asked, wanted), len(asked) - 1)] != wanted
+            np.add.at(links, b[one_way], searches.copies[q[one_way]])
+            root = joined(root, a, b)
+    touched = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
+    return pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(links[touched]), pa.array(ids[root[touched]])], ["id", "links", "root"])
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each element's component after the edges (a, b), given those before."""
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, least)
+            np.minimum.at(new, root[side], least)
+        new = new[new]
+        if (new == root).all():
+            return new
+        root = new
