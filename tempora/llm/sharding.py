@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RING_BITS = 14  # the ring is indexed by the leading bits of a hash
+SPAN_BITS = 16  # rows are ranked within spans of the ring that share so many leading bits
+RUN = 4096  # copies of a row that one task spreads out
 
 
 def row_size(text: str = "text") -> Column:
@@ -76,8 +78,9 @@ def shard_rows(
     moves fewer rows when shards are added, and bounds each shard by factor * rows / shards. Slots are gapless from 0
     in each shard. `grown_shard` is null, as only the `key` law can promise it.
 
-    Nulls: a null key is a key like any other; a null text counts no bytes and has the checksum of no bytes. Repeated
-    rows each get a slot of their own: they are counted before the shuffle and spread out after it. An empty table
+    Nulls: a null key is a key like any other; a null text counts no bytes and has the checksum of no bytes. A long text
+    is measured where it is read. Repeated rows each get a slot of their own: they are counted before the shuffle and
+    spread out after it, by runs in several tasks. No text hash is compared, so ties of hashes only share an arc. An empty table
     gives an empty result. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
@@ -98,9 +101,13 @@ def shard_rows(
     keys = keys.withColumn("_h", F.xxhash64("_key", "_size", "_crc")).withColumn("_cell", F.shiftright("_h", 64 - RING_BITS).cast("int"))
     after = F.size(F.filter("_points", lambda p: p < F.col("_h")))
     keys = keys.join(F.broadcast(ring), "_cell").withColumn("_arc", F.pmod(F.col("_start") + after, F.lit(len(points))).cast("int"))
-    keys = keys.select("_key", "_size", "_crc", "_copies", "_h", "_arc")
+    keys = keys.select("_key", "_size", "_crc", "_copies", "_h", "_arc", F.shiftright("_h", 64 - SPAN_BITS).cast("int").alias("_span"))
 
-    counts = {r._arc: r.n for r in keys.groupBy("_arc").agg(F.sum("_copies").alias("n")).collect()}  # a number for each point
+    # Rows are counted by arc and span: as many numbers as points and spans together, whatever the number of rows.
+    spans = keys.groupBy("_arc", "_span").agg(F.sum("_copies").alias("_n"))
+    counts = {r._arc: r.n for r in spans.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}  # a number for each point
+    before = Window.partitionBy("_arc").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_arc", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
     total = sum(counts.values())
     dealt = settle(points, counts, capacities(total, n_shards, load_factor))
     plan = _inline(
@@ -108,9 +115,15 @@ def shard_rows(
         [{"_arc": a, "_runs": [{"lo": lo, "hi": hi, "shard": s, "slot": slot} for lo, hi, s, slot in runs]} for a, runs in dealt.items()],
         "_arc int, _runs array<struct<lo:bigint,hi:bigint,shard:int,slot:bigint>>",
     )
-    order = Window.partitionBy("_arc").orderBy("_h", "_key", "_size", "_crc").rowsBetween(Window.unboundedPreceding, 0)
-    keys = keys.withColumn("_first", F.sum("_copies").over(order) - F.col("_copies"))
-    rows = keys.withColumn("_rank", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)))
+    order = Window.partitionBy("_arc", "_span").orderBy("_h", "_key", "_size", "_crc").rowsBetween(Window.unboundedPreceding, 0)
+    keys = keys.withColumn("_first", F.sum("_copies").over(order) - F.col("_copies")).join(F.broadcast(spans), ["_arc", "_span"])
+    keys = keys.withColumn("_first", F.col("_first") + F.col("_skip")).drop("_skip", "_span", "_h")
+    # Many copies of one row are cut into runs, which are dealt out before they are spread.
+    many = keys.where(F.col("_copies") > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {RUN}"))))
+    many = many.withColumn("_first", F.col("_first") + F.col("_run") * RUN).withColumn("_copies", F.least(F.lit(RUN), F.col("_copies") - F.col("_run") * RUN))
+    many = many.repartition("_key", "_run").select(*keys.columns)
+    runs = keys.where(F.col("_copies") <= RUN).unionByName(many)
+    rows = runs.withColumn("_rank", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)))
     rows = rows.join(F.broadcast(plan), "_arc")
     run = F.element_at(F.filter("_runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"])), 1)
     return rows.withColumn("_run", run).select(
