@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialize
+from tempora.llm.common import materialize, with_near
 
 #: Windows of so many words. A shorter item is one window.
 WINDOW = 8
@@ -18,8 +18,8 @@ WINDOW = 8
 COVERAGE = 0.5
 #: The least number of literal words in a window.
 LITERAL = 3
-#: Windows of the benchmark are sent to all tasks up to this number (about 64 MB), else joined by a shuffle.
-BROADCAST = 500_000
+#: Windows of the benchmark are sent to all tasks up to so many bytes, else joined by a shuffle.
+BROADCAST = 64 << 20
 
 # Units of measure.
 UNITS = (
@@ -71,6 +71,20 @@ def _exact_windows(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_form", F.lit(2)).withColumn("_h", F.xxhash64(F.lit(-n), *words))
 
 
+def _short_windows(rows: DataFrame, widths: list[tuple[int, bool]]) -> DataFrame:
+    """The windows of items shorter than a window or searched as they stand, of all their widths in one pass."""
+    lists, columns = [], rows.columns
+    rows = rows.withColumn("_plain", F.transform("_raw", lambda w: F.lower(F.translate(w, "¤", ""))))
+    for n, whole in widths:
+        for form, words in [(2, F.col("_plain"))] if whole else [(0, F.col("_t")), (1, F.col("_u"))]:
+            places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+            hashed = lambda p, words=words, n=n, whole=whole: F.xxhash64(F.lit(-n if whole else n), *[words[p + k] for k in range(n)])
+            made = F.transform(places, lambda p, form=form, hashed=hashed: F.struct(p.alias("p"), F.lit(form).alias("form"), hashed(p).alias("h")))
+            lists.append(made if form != 1 else F.filter(made, lambda w, n=n: w["h"] != F.xxhash64(F.lit(n), *[F.col("_t")[w["p"] + k] for k in range(n)])))
+    rows = rows.withColumn("_w", F.explode(F.concat(*lists)))
+    return rows.select(*columns, F.col("_w.p").alias("_p"), F.col("_w.form").alias("_form"), F.col("_w.h").alias("_h"))
+
+
 def benchmark_windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
     """(_item, _n, _all, _width, _i, _form, _h, _slots): the windows of all items.
 
@@ -106,25 +120,40 @@ def leaks_of_texts(
     `n_hit` of an item's `n_windows` windows stand in the document on diagonals whose slots are consistent: one value
     in the item is replaced by one value in the document. `n_slots` counts slots compared. Null and empty texts hold
     nothing; an item without words is never found; names that begin sentences count where an item is not found without them; a null key or item id is an id like any other. Repeated rows give
-    one pair. Empty tables give none. Only the named columns are read. The benchmark's windows are counted, and sent
-    to all tasks only within a bound; otherwise the join is by shuffle.
+    one pair. Empty tables give none. Only the named columns are read. A long text is read as a whole; its windows are
+    made one by one. A coverage of just `coverage` is enough. The size of the benchmark's windows is summed up, and they
+    are sent to all tasks only within a bound of bytes; otherwise places and hashes are joined by shuffle.
     """
     parts = materialize(benchmark_windows(benchmark, item, item_text, window))
     exact = F.col("_form") == 2
-    sizes = {(r._width, r.x): r.n for r in parts.groupBy("_width", exact.alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most twice `window` numbers
+    widest = F.sum(F.lit(64) + 24 * F.size("_slots") + F.coalesce(F.aggregate("_slots", F.lit(0), lambda a, x: a + F.octet_length(x["kind"]) + F.octet_length(x["was"])), F.lit(0)))
+    sizes = {(r._width, r.x): r.bytes for r in parts.groupBy("_width", exact.alias("x")).agg(widest.alias("bytes")).collect()}  # at most twice `window` numbers
+    small = sum(sizes.values()) <= BROADCAST
     raw, t, u = canonical(F.col(text))
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_v"), raw.alias("_raw"), t.alias("_t"), u.alias("_u"))
-    met = None
-    for n, whole in sorted(sizes) or [(window, False)]:
-        right = parts.where((F.col("_width") == n) & (exact == whole)).withColumnRenamed("_form", "_as")
-        if sum(sizes.values()) <= BROADCAST:
-            right = F.broadcast(right)
-        some = (_exact_windows if whole else _windows)(rows, n).join(right, "_h")
-        some = some.select(
+
+    def meet(windows: DataFrame, right: DataFrame) -> DataFrame:
+        """Windows of documents that stand in the benchmark, with the values of their slots."""
+        right = right.withColumnRenamed("_form", "_as")
+        if small:
+            some = windows.join(F.broadcast(right), "_h")
+        else:
+            # Places and hashes are shuffled, and few of those; words are fetched for what was found.
+            near = with_near(windows.select("_key", "_v", "_p", "_form", "_h"), F.col("_h"), right, "_h").where("_near").drop("_near")
+            hits = materialize(near.distinct().join(right, "_h"))
+            of = hits.select(F.xxhash64("_key", "_v").alias("_kv")).distinct()
+            texts = with_near(rows.select("_key", "_v", "_raw"), F.xxhash64("_key", "_v"), of, "_kv").where("_near").dropDuplicates(["_key", "_v"])
+            texts = texts.select(F.col("_key").alias("_tk"), F.col("_v").alias("_tv"), "_raw")
+            some = hits.join(texts, F.col("_key").eqNullSafe(F.col("_tk")) & F.col("_v").eqNullSafe(F.col("_tv")))
+        return some.select(
             "_key", "_v", "_item", "_n", "_all", "_i", (F.col("_p") - F.col("_i")).alias("_d"), (F.col("_form") == F.col("_as")).alias("_same"), (F.col("_form") != 1).alias("_plain"),
             F.transform("_slots", lambda s: F.struct(s["kind"].alias("kind"), s["was"].alias("was"), F.translate(F.col("_raw")[F.col("_p") + s["o"]], "¤", "").alias("now"))).alias("_slots"),
         )
-        met = some if met is None else met.unionByName(some)
+
+    full = (F.col("_width") == window) & ~exact
+    met = meet(_windows(rows, window), parts.where(full))
+    if others := sorted(k for k in sizes if k != (window, False)):
+        met = met.unionByName(meet(_short_windows(rows, others), parts.where(~full)))
     plain = F.col("_same") & F.col("_plain")
     gather = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     line = met.groupBy("_key", "_v", "_item", "_n", "_all", "_d").agg(
