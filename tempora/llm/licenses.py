@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ship
+from tempora.llm.common import by_few, ship
 
 ship(__name__)
 
@@ -42,18 +42,31 @@ TEMPLATES = {
         "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
         "copies of the software and to permit persons to whom the software is furnished to do so subject to the following "
         "conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<<end>> shall be "
-        "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind"
+        "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+        "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement in no event shall the <<opt>>authors or<<end>> copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the "
+        "use or other dealings in the software"
     ),
     "isc-text": (
         "permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby "
-        "granted provided that the above copyright notice and this permission notice appear in all copies"
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software is provided "
+        "as is and <<var 8>> disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall <<var 8>> be liable for any special direct indirect or consequential damages "
+        "or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+        "tortious action arising out of or in connection with the use or performance of this software"
     ),
     "bsd-2-clause-text": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
         "conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of "
         "conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright "
         "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
-        "distribution this software is provided by <<var 12>> as is"
+        "distribution this software is provided by <<var 12>> as is and any express or implied warranties including but not limited "
+        "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 12>> "
+        "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+        "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any "
+        "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of "
+        "the use of this software even if advised of the possibility of such damage"
     ),
     "bsd-3-clause-text": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
@@ -61,7 +74,53 @@ TEMPLATES = {
         "conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright "
         "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
         "distribution <<opt>>3<<end>> neither the name of <<var 12>> nor the names of its contributors may be used to endorse or "
-        "promote products derived from this software without specific prior written permission"
+        "promote products derived from this software without specific prior written permission this software is provided by "
+        "<<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability "
+        "and fitness for a particular purpose are disclaimed in no event shall <<var 12>> be liable for any direct indirect incidental "
+        "special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of "
+        "use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+        "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+        "possibility of such damage"
+    ),
+    "zlib-text": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+        "damages arising from the use of this software permission is granted to anyone to use this software for any purpose including "
+        "commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt>>1<<end>> the "
+        "origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this "
+        "software in a product an acknowledgment in the product documentation would be appreciated but is not required <<opt>>2<<end>> "
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "<<opt>>3<<end>> this notice may not be removed or altered from any source distribution"
+    ),
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you "
+        "may obtain a copy of the license at <<var 9>> unless required by applicable law or agreed to in writing software distributed "
+        "under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see "
+        "the license for the specific language governing permissions and limitations under the license"
+    ),
+    "gpl-2.0-or-later-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 2 of the license or at your option any later version this program is "
+        "distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
+        "or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of "
+        "the gnu general public license along with this program"
+    ),
+    "gpl-3.0-or-later-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version this program is "
+        "distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
+        "or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of "
+        "the gnu general public license along with this program"
+    ),
+    "lgpl-2.1-or-later-notice": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+        "license as published by the free software foundation either version 2.1 of the license or at your option any later version "
+        "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu lesser general public license for more details you should "
+        "have received a copy of the gnu lesser general public license along with this library"
+    ),
+    "mpl-2.0-notice": (
+        "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed "
+        "with this file you can obtain one at <<var 8>>"
     ),
 }
 
@@ -165,7 +224,8 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", b
 
     `score` is 1 where a template is accepted, 0.5 where only a base phrase stands, else 0. A null text counts as
     empty: no words, no labels (empty strings), null places. Null keys and repeated rows come back as they are, an
-    empty table gives none; only the two named columns are read. One pass, no shuffle.
+    empty table gives none; a long text is scanned as a whole; only the two named columns are read, whatever the names
+    of others. One pass, no shuffle.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
@@ -174,7 +234,7 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(base, templates)
-        for b in batches:
+        for b in by_few(batches):
             columns = list(zip(*map(scan, b.column(1).to_pylist()), strict=True)) if b.num_rows else [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["_key", *names])
 

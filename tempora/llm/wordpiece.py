@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ship
+from tempora.llm.common import by_few, ship
 
 ship(__name__)
 
@@ -25,7 +25,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words that a worker remembers; beyond it the memory starts anew. It bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
     """Count the greedy word pieces of every whole text: (key, n_bytes, n_words, n_tokens).
 
     A null or empty text has no words and no tokens. Null keys and repeated rows come back as they are, an empty table
-    gives none; only the two named columns are read. `vocabulary` is a byte-level vocabulary file that every worker
+    gives none; a long text is counted as a whole; only the two named columns are read. `vocabulary` is a byte-level vocabulary file that every worker
     can open. One pass, no shuffle.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -129,7 +129,7 @@ def count_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
                 n_tokens += got[1]
             return len((text or "").encode("utf-8", "surrogatepass")), n_words, n_tokens
 
-        for b in batches:
+        for b in by_few(batches):
             columns = list(zip(*map(measure, b.column(1).to_pylist()), strict=True)) if b.num_rows else [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["_key", "n_bytes", "n_words", "n_tokens"])
 
