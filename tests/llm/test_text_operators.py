@@ -61,8 +61,9 @@ def brute_licenses(text):
 
 
 def test_licenses(docs_of):
-    notice = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
-    rows = [*ODD, (10, "Licensed under the Apache License, Version 2.0."), (11, "apache license 2.0 and MIT-License, cc by cc-by-nc 4.0"), (12, notice), (13, notice.replace("hereby", "")), (14, "xapache license mit licenses GNU general PUBLIC License ")]
+    notice = licenses.TEMPLATES["isc-text"].replace("<<opt>>or<<end>> ", "or ").replace("<<var 8>>", "the author").capitalize()
+    assert notice.count("hereby") == 1 and "<" not in notice
+    rows = [*ODD, (10, "Licensed under the Apache License, Version 2.0."), (11, "apache license 2.0 and MIT-License, cc by cc-by-nc 4.0"), (12, notice), (13, notice.replace("hereby", "")), (15, notice.replace("performance of this software", "performance of it")), (14, "xapache license mit licenses GNU general PUBLIC License ")]
     got = {}
     for r in licenses.scan_licenses(docs_of(rows)).collect():
         got.setdefault(r.doc_id, r)
@@ -71,6 +72,7 @@ def test_licenses(docs_of):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(t), i
     assert got[10].labels == "apache,apache-2.0" and got[10].score == 1.0
     assert got[11].labels == "apache,apache-2.0,cc-by,cc-by-nc-4.0,mit"
+    assert got[15].labels == ""
     assert got[12].labels == "isc-text" and got[13].labels == "" and got[13].score == 0.0 and got[14].labels == "gpl"
 
 
@@ -290,9 +292,13 @@ def test_leaks_of_items_with_few_literal_words(docs_of, spark):
 
 
 def test_large_benchmark_is_not_broadcast(docs_of, spark, prose, monkeypatch):
+    q = "Ask how far Alice Smith travels in 5 km if she walks 12 hours each day and rests on 5 of them before reaching home"
+    bench = spark.createDataFrame([(2, prose(3, 20)), (3, q), (4, "too short item"), (5, "What is 12 + 15 * 3?")], "item_id long, text string")
+    rows = [(1, prose(3, 20)), (2, f"{prose(50, 10_000)}. {q.replace('12', '9.5').replace('Alice Smith', 'Bob Jones')} {prose(51, 10_000)}"), (None, q), (None, q), (3, "it is too short item here"), (4, "so: what is 12 + 15 * 3?"), *ODD]
+    show = lambda: sorted(map(repr, templates.find_leaks(docs_of(rows), bench).collect()))
+    sent = show()
     monkeypatch.setattr(templates, "BROADCAST", 0)
-    bench = spark.createDataFrame([(2, prose(3, 20))], "item_id long, text string")
-    assert templates.find_leaks(docs_of([(1, prose(3, 20))]), bench).count() == 1
+    assert show() == sent and len(sent) == 5
 
 
 def brute_chats(rows):
