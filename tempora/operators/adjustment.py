@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,10 +43,21 @@ def factor(ratio: Column, applies: Column, power: int = -1) -> Column:
     return F.coalesce(F.product(F.when(applies, value)), F.lit(1.0))
 
 
-def _splits_for(rows: DataFrame, splits: DataFrame, applies: Column) -> DataFrame:
-    """Left join of rows with the splits that apply to them. The condition on dates is part of the hash join."""
-    s = split_events(splits).select(F.col("sec_id").alias("_sec"), F.col("ex_date").alias("_ex"), F.col("split_ratio").alias("_ratio"), F.col("known_from").alias("_known"))
-    return rows.join(s, (F.col("sec_id") == F.col("_sec")) & applies, "left")
+def with_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Adds `_splits`, the list of a security's distinct splits, which are few by nature: rows look their factors up in it."""
+    s = split_events(splits).groupBy(F.col("sec_id").alias("_sec")).agg(F.collect_list(F.struct("ex_date", "known_from", "split_ratio")).alias("_of_sec"))
+    nothing = F.array().cast(s.schema["_of_sec"].dataType)
+    return rows.join(s, F.col("sec_id") == F.col("_sec"), "left").withColumn("_splits", F.coalesce("_of_sec", nothing)).drop("_sec", "_of_sec")
+
+
+def product_of(test: Callable[[Column], Column], power: int = -1, of: str = "_splits") -> Column:
+    """Product of ratio ** power over the splits in the list for which a condition holds; 1 if none."""
+
+    def step(acc: Column, x: Column) -> Column:
+        value = F.try_divide(F.lit(1.0), x["split_ratio"]) if power < 0 else x["split_ratio"]
+        return F.when(test(x) & value.isNotNull(), acc * value).otherwise(acc)
+
+    return F.aggregate(of, F.lit(1.0), step)
 
 
 def caf_scalar(splits: DataFrame, sec_id: str, price_date: date, observed: datetime) -> float:
@@ -62,11 +74,11 @@ def caf_matrix(prices: DataFrame, splits: DataFrame, observations: DataFrame) ->
     require(observations, {"sec_id", "observation_timestamp"}, "observations")
     seen = to_utc(observations.select("sec_id", "observation_timestamp").distinct(), "observation_timestamp")
     bars = latest_bars(prices).select("sec_id", "trade_date", "close")
-    applies = (F.col("_ex") > F.col("trade_date")) & (F.col("_ex") <= F.to_date("observation_timestamp")) & (F.col("_known") <= F.col("observation_timestamp"))
-    # Factors belong to security, time and day; only days before a split have one, so the wide matrix is not grouped.
-    rows = _splits_for(seen.join(bars, "sec_id"), splits, applies)
-    out = rows.groupBy("sec_id", "observation_timestamp", "trade_date", "close").agg(factor(F.col("_ratio"), F.col("_ratio").isNotNull()).alias("caf"))
-    return out.withColumn("adj_close", F.col("close") * F.col("caf"))
+    at = F.col("observation_timestamp")
+    seen = with_splits(seen, splits).withColumn("_splits", F.filter("_splits", lambda x: (x["ex_date"] <= F.to_date(at)) & (x["known_from"] <= at)))
+    # A factor is a step function of the date: each bar looks it up in the short list of its observation.
+    rows = seen.join(bars, "sec_id").withColumn("caf", product_of(lambda x: x["ex_date"] > F.col("trade_date")))
+    return rows.select("sec_id", "observation_timestamp", "trade_date", "close", "caf", (F.col("close") * F.col("caf")).alias("adj_close"))
 
 
 def adjusted_close_as_of(prices: DataFrame, splits: DataFrame, observed: datetime, sec_id: str) -> DataFrame:
@@ -81,20 +93,13 @@ def adj_close_pit(prices: DataFrame, splits: DataFrame | None) -> DataFrame:
     bars = to_utc(latest_bars(prices), "known_from").select("sec_id", "trade_date", "known_from", "close")
     if splits is None:
         return bars.withColumnRenamed("close", "adj_close")
-    applies = (F.col("trade_date") < F.col("_ex")) & (F.col("_known") <= F.col("known_from"))
-    out = _splits_for(bars, splits, applies).groupBy("sec_id", "trade_date", "known_from", "close").agg(factor(F.col("_ratio"), F.col("_ratio").isNotNull()).alias("_f"))
-    return out.select("sec_id", "trade_date", "known_from", (F.col("close") * F.col("_f")).alias("adj_close"))
+    known = product_of(lambda x: (F.col("trade_date") < x["ex_date"]) & (x["known_from"] <= F.col("known_from")))
+    return with_splits(bars, splits).select("sec_id", "trade_date", "known_from", (F.col("close") * known).alias("adj_close"))
 
 
 def undo_adjustment(bars: DataFrame, splits: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
     """As-traded prices from prices that a vendor adjusted for all splits: times the ratios of later ex-dates."""
-    rows = bars.withColumn("_row", F.monotonically_increasing_id())
-    later = bars.select("sec_id", "trade_date").distinct().join(
-        split_events(splits).select(F.col("sec_id").alias("_sec"), F.col("ex_date").alias("_ex"), F.col("split_ratio").alias("_ratio")),
-        (F.col("sec_id") == F.col("_sec")) & (F.col("_ex") > F.col("trade_date")), "left",
-    )
-    undo = later.groupBy("sec_id", "trade_date").agg(factor(F.col("_ratio"), F.col("_ratio").isNotNull(), 1).alias("undo_factor"))
-    rows = rows.join(undo, ["sec_id", "trade_date"]).drop("_row")
+    rows = with_splits(bars, splits).withColumn("undo_factor", product_of(lambda x: x["ex_date"] > F.col("trade_date"), 1)).drop("_splits")
     for c in columns:
         if c in bars.columns:
             rows = rows.withColumn(c, F.col(c) * F.col("undo_factor"))

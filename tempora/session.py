@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "/tmp/checkpoints/tempora"
 
 
+#: Intermediate tables that this process wrote and did not remove yet.
+_written: list[str] = []
+
+
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Return a session pinned to UTC, with adaptive execution; an active session is reused."""
     return (
@@ -42,4 +46,24 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tempora-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written() -> int:
+    """How many intermediate tables this process wrote and did not remove: a mark for `sweep`."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, *kept: DataFrame, since: int = 0) -> int:
+    """Remove the intermediate tables written since a mark, but those that `kept` read; how many went.
+
+    To be called when results that rest on them are written elsewhere.
+    """
+    wanted = {f.rstrip("/").rpartition("/")[0] for df in kept for f in df.inputFiles()}
+    gone = [p for p in _written[since:] if not any(w.endswith(p.rpartition("/")[2]) for w in wanted)]
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in gone:
+        path_of(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path_of(p), True)
+        _written.remove(p)
+    return len(gone)

@@ -284,3 +284,27 @@ def test_quarter_ends_and_business_days(spark):
         assert r.p == synthetic.quarter_end_before(r.d) and [r.q] == synthetic.quarter_ends(r.p + timedelta(1), r.q) and r.p < r.d <= r.q
     span = spark.createDataFrame([(days[0], days[-1])], "a date, b date")
     assert [r.day for r in temporal.business_days(span, "a", "b").orderBy("day").collect()] == synthetic.weekdays(days[0], days[-1])
+
+
+def test_indicators_of_splits_known_early_and_late(spark):
+    closes = [100 + 10 * math.sin(i / 3) + i / 5 for i in range(130)]
+    events = [(date(2020, 3, 1), 2.0, D(2020, 3, 6, 12)), (date(2020, 4, 1), 4.0, D(2020, 2, 20, 12)), (date(2020, 4, 20), 0.5, D(2020, 6, 1))]
+    splits = spark.createDataFrame([("A", *e) for e in events], "sec_id string, ex_date date, split_ratio double, known_from timestamp_ntz")
+    bars = _bars(spark, closes).union(_bars(spark, closes, "B"))
+    rows = indicators.pit_indicators(bars, splits).orderBy("sec_id", "trade_date").collect()
+    assert len(rows) == 260 and all(r.known_splits == 0 and r.adj_close == pytest.approx(c) for r, c in zip(rows[130:], closes))
+    pit = {(r.sec_id, r.trade_date): r.adj_close for r in adjustment.adj_close_pit(bars, splits).collect()}
+    for i, r in enumerate(rows[:130]):
+        days = [date(2020, 1, 1) + timedelta(k) for k in range(i + 1)]
+        known = [e for e in events if e[2] <= r.known_from]
+        adj = [c / math.prod(q for ex, q, _ in known if d < ex) for c, d in zip(closes, days)]
+        assert r.known_splits == len(known) and r.adj_close == pytest.approx(adj[-1]) == pytest.approx(pit["A", r.trade_date])
+        if i >= 20:
+            logs = [math.log(b / a) for a, b in zip(adj, adj[1:])][-20:]
+            assert r.log_return == pytest.approx(logs[-1]) and r.momentum_20d == pytest.approx(adj[-1] / adj[-21] - 1)
+            assert r.volatility_20d == pytest.approx(statistics.stdev(logs) * math.sqrt(252))
+        if i >= 49:
+            ema = adj[0]
+            for x in adj[1:]:
+                ema = 2 / 51 * x + 49 / 51 * ema
+            assert r.sma_50d == pytest.approx(statistics.fmean(adj[-50:])) and r.ema_50d == pytest.approx(ema)
