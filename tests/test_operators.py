@@ -308,3 +308,31 @@ def test_indicators_of_splits_known_early_and_late(spark):
             for x in adj[1:]:
                 ema = 2 / 51 * x + 49 / 51 * ema
             assert r.sma_50d == pytest.approx(statistics.fmean(adj[-50:])) and r.ema_50d == pytest.approx(ema)
+
+
+def test_zoned_times_become_utc(spark):
+    from pyspark.sql import functions as F
+
+    from tempora.functions.temporal import to_utc
+
+    df = spark.range(1).select(F.timestamp_seconds(F.lit(1_600_000_000)).alias("t"), F.lit(date(2020, 9, 13)).alias("d"), F.lit("2020-09-13 12:26:40").alias("s"), F.lit(1).alias("n"))
+    for c, want in (("t", D(2020, 9, 13, 12, 26, 40)), ("d", D(2020, 9, 13)), ("s", D(2020, 9, 13, 12, 26, 40))):
+        assert to_utc(df, c).first()[c] == want
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert to_utc(df, "t").select(F.col("t").cast("string")).first()[0] == "2020-09-13 12:26:40"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    with pytest.raises(ValueError):
+        to_utc(df, "n")
+
+
+def test_metrics_without_a_value(spark):
+    schema = "observation_timestamp timestamp_ntz, net_return double, equity double, turnover double"
+    of = lambda *rows: metrics.compute_metrics(spark.createDataFrame([(D(2024, 1, 1) + timedelta(i), *r) for i, r in enumerate(rows)], schema))
+    one = of((0.1, 1.1, 0.5))
+    assert one.annualized_volatility is None and one.sharpe_ratio is None and one.cagr is None and one.cumulative_return == pytest.approx(0.1) and one.win_rate == 1.0
+    flat = of((0.0, 1.0, 0.0), (0.0, 1.0, 0.0))
+    assert flat.sharpe_ratio is None and flat.profit_factor is None and flat.calmar_ratio is None and flat.max_drawdown == 0.0
+    odd = of((0.1, 1.1, 0.5), (float("inf"), float("inf"), 0.5), (0.1, 1.0, 0.5))
+    assert odd.cumulative_return is None and odd.annualized_volatility is None and odd.win_rate is None and odd.mean_turnover == 0.5
