@@ -38,22 +38,27 @@ OPENERS = (
 NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
 
 
-def canonical(text: Column) -> tuple[Column, Column, Column]:
-    """(raw words, template words, template words with names that begin sentences), arrays of equal length.
+def canonical(rows: DataFrame, text: str) -> DataFrame:
+    """Adds _raw, _t, _u: raw words, template words, template words with names that begin sentences; of equal lengths.
 
     A name is a word with a capital first letter that does not begin a sentence; numbers and the units after them are
     placeholders too. All else is lower-cased. A capitalised word that begins a sentence may be a name or not: the third
     array has a placeholder for it, unless it is one of OPENERS.
+
+    Each pass over a text has a step of its own, and the arrays leave them as one generated value: conditions on the
+    arrays would else be moved before the passes, which would then run twice.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), "¤‹›", "   ")
-    marked = F.regexp_replace(plain, r"(^|[.!?\n][\s\"']*)(\p{Lu})", "$1¤$2")
-    raw = F.regexp_extract_all(marked, F.lit(rf"{NUMBER}|¤?\p{{L}}+"), F.lit(0))
-    t = F.regexp_replace(marked, r"([^¤\p{L}])\p{Lu}\p{Ll}\p{L}*", "$1‹name›")
+    kept = [c for c in rows.columns if c != text]
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "¤‹›", "   ")
+    steps = rows.select(*kept, F.regexp_replace(plain, r"(^|[.!?\n][\s\"']*)(\p{Lu})", "$1¤$2").alias("_marked"))
+    t = F.regexp_replace("_marked", r"([^¤\p{L}])\p{Lu}\p{Ll}\p{L}*", "$1‹name›")
     t = F.regexp_replace(t, NUMBER, "‹num›")
     t = F.regexp_replace(t, rf"(?i)(‹num›\s*)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}]|$)", "$1‹unit›$2")
+    steps = steps.select(*kept, F.regexp_extract_all("_marked", F.lit(rf"{NUMBER}|¤?\p{{L}}+"), F.lit(0)).alias("_raw"), t.alias("_typed"))
     split = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"‹\p{L}+›|\p{L}+"), F.lit(0))
-    u = F.regexp_replace(t, rf"¤(?!(?i:{'|'.join(OPENERS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*", "‹name›")
-    return raw, split(t), split(u)
+    u = F.regexp_replace("_typed", rf"¤(?!(?i:{'|'.join(OPENERS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}\p{{L}}*", "‹name›")
+    one = F.struct(F.col("_raw"), split(F.col("_typed")).alias("_t"), split(u).alias("_u"))
+    return steps.select(*kept, F.explode(F.array(one)).alias("_words")).select(*kept, "_words._raw", "_words._t", "_words._u")
 
 
 def _windows(rows: DataFrame, n: int) -> DataFrame:
@@ -73,14 +78,18 @@ def _exact_windows(rows: DataFrame, n: int) -> DataFrame:
 
 def _short_windows(rows: DataFrame, widths: list[tuple[int, bool]]) -> DataFrame:
     """The windows of items shorter than a window or searched as they stand, of all their widths in one pass."""
-    lists, columns = [], rows.columns
+    columns = rows.columns
+
+    def hashed(words: str, at: Column, n: int, whole: bool) -> Column:
+        return F.xxhash64(F.lit(-n if whole else n), *[F.col(words)[at + k] for k in range(n)])
+
+    def made(words: str, form: int, n: int, whole: bool) -> Column:
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        found = F.transform(places, lambda p: F.struct(p.alias("p"), F.lit(form).alias("form"), hashed(words, p, n, whole).alias("h")))
+        return F.filter(found, lambda w: w["h"] != hashed("_t", w["p"], n, whole)) if form == 1 else found
+
     rows = rows.withColumn("_plain", F.transform("_raw", lambda w: F.lower(F.translate(w, "¤", ""))))
-    for n, whole in widths:
-        for form, words in [(2, F.col("_plain"))] if whole else [(0, F.col("_t")), (1, F.col("_u"))]:
-            places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-            hashed = lambda p, words=words, n=n, whole=whole: F.xxhash64(F.lit(-n if whole else n), *[words[p + k] for k in range(n)])
-            made = F.transform(places, lambda p, form=form, hashed=hashed: F.struct(p.alias("p"), F.lit(form).alias("form"), hashed(p).alias("h")))
-            lists.append(made if form != 1 else F.filter(made, lambda w, n=n: w["h"] != F.xxhash64(F.lit(n), *[F.col("_t")[w["p"] + k] for k in range(n)])))
+    lists = [made(*kind, n, whole) for n, whole in widths for kind in ([("_plain", 2)] if whole else [("_t", 0), ("_u", 1)])]
     rows = rows.withColumn("_w", F.explode(F.concat(*lists)))
     return rows.select(*columns, F.col("_w.p").alias("_p"), F.col("_w.form").alias("_form"), F.col("_w.h").alias("_h"))
 
@@ -91,8 +100,7 @@ def benchmark_windows(items: DataFrame, item: str, text: str, window: int) -> Da
     _n counts those of an item's template, _all those of either form. Windows with too few literal words are left out;
     an item that has no others is searched as it stands, without placeholders.
     """
-    raw, t, u = canonical(F.col(text))
-    rows = items.select(F.col(item).alias("_item"), raw.alias("_raw"), t.alias("_t"), u.alias("_u")).where("size(_t) > 0").dropDuplicates(["_item", "_t"])
+    rows = canonical(items.select(F.col(item).alias("_item"), F.col(text).alias("_text")), "_text").where("size(_t) > 0").dropDuplicates(["_item", "_t"])
     made = exact = None
     for n in range(1, window + 1):
         of_width = rows.where(F.size("_t") == n) if n < window else rows
@@ -129,8 +137,7 @@ def leaks_of_texts(
     widest = F.sum(F.lit(64) + 24 * F.size("_slots") + F.coalesce(F.aggregate("_slots", F.lit(0), lambda a, x: a + F.octet_length(x["kind"]) + F.octet_length(x["was"])), F.lit(0)))
     sizes = {(r._width, r.x): r.bytes for r in parts.groupBy("_width", exact.alias("x")).agg(widest.alias("bytes")).collect()}  # at most twice `window` numbers
     small = sum(sizes.values()) <= BROADCAST
-    raw, t, u = canonical(F.col(text))
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_v"), raw.alias("_raw"), t.alias("_t"), u.alias("_u"))
+    rows = canonical(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_v"), F.col(text).alias("_text")), "_text")
 
     def meet(windows: DataFrame, right: DataFrame) -> DataFrame:
         """Windows of documents that stand in the benchmark, with the values of their slots."""
