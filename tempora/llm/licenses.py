@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_few, ship
+from tempora.llm.common import by_few, ship, small_batches
 
 ship(__name__)
 
@@ -227,6 +227,7 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", b
     empty table gives none; a long text is scanned as a whole; only the two named columns are read, whatever the names
     of others. One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_few, materialize, ship, with_near
+from tempora.llm.common import by_few, materialize, ship, small_batches, with_near
 from tempora.llm.components import components
 from tempora.llm.shingles import runs, words
 
@@ -178,6 +178,7 @@ def jaccard_join(
     words (null and empty ones too) have no links and stay; their class is their own key. Rows with null keys take part;
     a class of null keys only has a null class id. An empty table gives none. Only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     n_hashes = bands * rows
     looks = least_matches(threshold, n_hashes, STEP, tolerance)
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_tv"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_few, materialize, ship
+from tempora.llm.common import by_few, materialize, ship, small_batches
 
 ship(__name__)
 
@@ -270,6 +270,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
     and score 0. Null keys and repeated rows come back row by row, an empty table gives none; only the two named
     columns are read. `model` is a file that every worker can open.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     long = F.coalesce(F.length("_text"), F.lit(0)) >= chunk

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_few, materialize, ship
+from tempora.llm.common import by_few, materialize, ship, small_batches
 
 ship(__name__)
 
@@ -296,6 +296,7 @@ def score_toxicity(
     alike (`text_hash` tells rows of one key apart), an empty table gives none, without labels every score is that of the intercept. `n_restored` counts the
     words after restoring. Only the named columns are read, whatever else the tables hold.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     model_of = char_model(docs, text)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("toxic"))
@@ -341,6 +342,7 @@ def char_model(docs: DataFrame, text: str = "text"):
 
 def restore_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The restored text of every document: (key, restored); null texts come back empty."""
+    small_batches(docs.sparkSession)
     model_of = char_model(docs, text)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_few, ship
+from tempora.llm.common import by_few, ship, small_batches
 
 ship(__name__)
 
@@ -107,6 +107,7 @@ def count_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
     gives none; a long text is counted as a whole; only the two named columns are read. `vocabulary` is a byte-level vocabulary file that every worker
     can open. One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
 
