@@ -32,6 +32,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 5  # a pair at the threshold is proposed with probability 1 - (1 - 0.8**5)**28 = 0.99999
 STEP = 20  # MinHash values compared before each look at the posterior
 TOLERANCE = 1e-5
+SALTS = 16  # parts of a cell that different tasks deal out
 BLOCK_SHINGLES = 250_000  # a block of texts holds about so many
 
 
@@ -219,7 +220,10 @@ def jaccard_join(
     # Large groups meet by cells.
     by_cell = sized.where("_large").select("_id", "_n").join(shared.select("_id", "_band", "_cell"), "_id")
     cuts = by_cell.groupBy("_band", "_cell").agg(F.ceil(F.sum("_n") / F.lit(block_shingles)).cast("int").alias("_blocks"))
-    by_cell = by_cell.join(cuts, ["_band", "_cell"]).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    # A cell may hold a large share of all rows: its number of blocks is sent to several tasks.
+    cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_cell = by_cell.withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(SALTS)).cast("int"))
+    by_cell = by_cell.join(cuts, ["_band", "_cell", "_salt"]).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
     by_cell = by_cell.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     by_cell = by_cell.select("_id", F.col("_cell").alias("_g"), "_band", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own")
     # Few texts are wanted: the others do not enter the join's shuffle.
