@@ -335,3 +335,24 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder, prose):
 def test_crc_of_rows_is_that_of_zlib(docs_of):
     rows = [(1, "é☃"), (2, None), (2, None)]
     assert sorted(r.text_crc32 for r in sharding.shard_rows(docs_of(rows)).collect()) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
+
+
+def test_scores_against_a_plain_scorer(docs_of, spark, prose):
+    """Every text of a table: restore, look up its words' weights, add them."""
+    import math
+
+    rows = [(i, prose(300 + i, 30) + (" you snarkly grumble" if i % 3 == 0 else "")) for i in range(300)] + [(900, "kato g-r-u-m-b-l-e rimu"), (901, None), (902, "snaarkly")]
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    model_of = toxicity.char_model(docs)
+    chosen = docs.join(labels, "doc_id").where(~toxicity.held_out("doc_id")).select("text", "toxic")
+    weights = toxicity.fit(chosen, model_of)
+    bias, _ = weights.pop("")
+    r = toxicity.Restorer(model_of())
+    assert weights and all(not k.isdigit() for k in weights)
+    for i, t in rows:
+        found = [weights[f] for f in toxicity.features(r.words(t)) if f in weights]
+        s = max([bias + sum(w for w, _ in found), *(alone for _, alone in found)])
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, s))))), i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
