@@ -28,7 +28,7 @@ SAMPLE = 20_000  # vectors that the codebooks and the number of visits are fitte
 PER_CELL = 200  # vectors aimed at for a cell: the grid grows with the table
 MOST_WORDS = 1024  # code words of a half
 PROBES = 4000  # vectors of the sample whose partners say how many cells a search has to visit
-MEMBERS, SEARCHES = 16_384, 65_536  # rows of a block
+MEMBERS, SEARCHES = 1 << 20, 1 << 22  # numbers of a block: rows times their length
 PAIRS = 1 << 20  # cosines computed at a time
 ROUNDING = 1e-9  # cosines so near to the threshold are computed again, in one order of the two vectors
 
@@ -85,7 +85,7 @@ class Index:
             visits *= 2
         rank = np.where(seen.any(axis=1), seen.argmax(axis=1), seen.shape[1] - 1)
         self.visits = int(min(seen.shape[1], np.quantile(rank, min(1.0, recall), method="higher") + 1))
-        self.parts = int(min(k, max(1, math.ceil(n_rows / (k * MEMBERS)))))
+        self.parts = int(min(k, max(1, math.ceil(n_rows * sample.shape[1] / (k * MEMBERS)))))
 
     def plain(self) -> tuple[list[np.ndarray], int, int]:
         """What workers need, without this class."""
@@ -169,8 +169,8 @@ def near_vectors(
     members = placed.select("_n", F.col("_home").alias("_g"), "_id", "_copies", "_own", F.flatten("_cells").alias("_cells"), "_x")
     searches = placed.select("_n", "_id", "_copies", "_own", "_x", F.explode(F.arrays_zip("_blocks", "_cells")).alias("_s"))
     searches = searches.select("_n", F.col("_s._blocks").alias("_g"), "_id", "_copies", "_own", F.col("_s._cells").alias("_cells"), "_x")
-    m_sizes = members.groupBy("_n", "_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("_mb"))
-    s_sizes = placed.select("_n", F.explode("_blocks").alias("_g")).groupBy("_n", "_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(SEARCHES)).cast("int").alias("_sb"))
+    m_sizes = members.groupBy("_n", "_g").agg(F.ceil(F.sum("_n") / F.lit(MEMBERS)).cast("int").alias("_mb"))
+    s_sizes = placed.select("_n", F.explode("_blocks").alias("_g")).groupBy("_n", "_g").agg(F.ceil(F.sum("_n") / F.lit(SEARCHES)).cast("int").alias("_sb"))
     grid = m_sizes.join(s_sizes, ["_n", "_g"])
 
     def dealt(side: DataFrame, kind: int, own: str, other: str) -> DataFrame:
