@@ -171,7 +171,8 @@ def near_vectors(
     searches = searches.select("_n", F.col("_s._blocks").alias("_g"), "_id", "_copies", "_own", F.col("_s._cells").alias("_cells"), "_x")
     m_sizes = members.groupBy("_n", "_g").agg(F.ceil(F.sum("_n") / F.lit(MEMBERS)).cast("int").alias("_mb"))
     s_sizes = placed.select("_n", F.explode("_blocks").alias("_g")).groupBy("_n", "_g").agg(F.ceil(F.sum("_n") / F.lit(SEARCHES)).cast("int").alias("_sb"))
-    grid = m_sizes.join(s_sizes, ["_n", "_g"])
+    # A table: its size is known when the join is planned, so that searches are not shuffled for it while it is small.
+    grid = materialize(m_sizes.join(s_sizes, ["_n", "_g"]))
 
     def dealt(side: DataFrame, kind: int, own: str, other: str) -> DataFrame:
         side = side.join(grid, ["_n", "_g"])
