@@ -90,6 +90,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def alone() -> None:
+    """On a worker: let go of the model that an earlier job of another operator left in this process."""
+    sys.modules.pop("_tempora_pieces", None)
+
+
 def by_few(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
     for b in batches:
