@@ -32,7 +32,7 @@ SCALE = 1 << 16
 #: A cost is (negative log probability) << TIE, plus a number that depends on where pieces end: equal scores are told
 #: apart by it, in the same way however a text is split.
 TIE = 44
-REMEMBERED = 60_000  # units that a worker remembers, of the latest twice as many at most
+REMEMBERED = 150_000  # units that a worker remembers, of the latest twice as many at most
 BLOCK = 64  # chunks whose matrices are combined in one step
 
 #: No piece joins Latin letters to anything but blanks before them, goes on after a blank or holds a line end: a unit
