@@ -90,7 +90,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def alone() -> None:
+def let_go() -> None:
     """On a worker: let go of the model that an earlier job of another operator left in this process."""
     sys.modules.pop("_tempora_pieces", None)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import alone, by_few, materialize, ship, small_batches, with_near
+from tempora.llm.common import by_few, let_go, materialize, ship, small_batches, with_near
 from tempora.llm.components import components
 from tempora.llm.shingles import runs, words
 
@@ -186,7 +186,7 @@ def jaccard_join(
     kind = source.schema["_key"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone()
+        let_go()
         a, b = _coefficients(n_hashes)
         for batch in by_few(batches, 1024):
             nodes, cells, sizes = [], [], []
@@ -234,7 +234,7 @@ def jaccard_join(
     dealt = dealt.repartition("_g", "_band", "_i", "_j").sortWithinPartitions("_g", "_band", "_i", "_j", "_own", "_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone()
+        let_go()
         coefficients = _coefficients(n_hashes)
 
         def rows_of() -> Iterator[tuple]:

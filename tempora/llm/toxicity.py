@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import alone, by_few, materialize, ship, small_batches
+from tempora.llm.common import by_few, let_go, materialize, ship, small_batches
 
 ship(__name__)
 
@@ -62,7 +62,7 @@ def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     base = np.concatenate([[0], np.cumsum(BUCKETS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone()
+        let_go()
         total = [np.zeros(b, np.int64) for b in BUCKETS]
         for b in by_few(batches):
             whole = "\n".join(t for t in b.column(0).to_pylist() if t)
@@ -229,7 +229,7 @@ def fit(sample: DataFrame, model_of, *, width: int = 4096, least: int = 5) -> di
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone()
+        let_go()
         restorer = Restorer(model_of())
         for b in by_few(batches):
             found = [list(features(restorer.words(t))) for t in b.column(0).to_pylist()]
@@ -310,7 +310,7 @@ def score_toxicity(
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone()
+        let_go()
         restorer, weights = Restorer(model_of()), dict(shared.value)
         bias, _ = weights.pop("")
         lengths = sorted({len(x) - 1 for x in weights if x.endswith("*")})
@@ -351,7 +351,7 @@ def restore_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone()
+        let_go()
         restorer = Restorer(model_of())
         for b in by_few(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(restorer.words(t)) for t in b.column(1).to_pylist()], pa.string())], ["_key", "restored"])
