@@ -79,22 +79,6 @@ def without(rows: DataFrame, dropped: DataFrame, own: dict[str, Column]) -> Data
     return marked.where(~F.col(near)).select(*columns).unionByName(left.select(*columns))
 
 
-#: Bytes of texts that travel to a worker in one Arrow batch.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Have this session send at most BATCH_BYTES in an Arrow batch, or less if it is set so: long texts make large ones."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if (now := spark.conf.get(name, None)) and now.rstrip("b").isdigit() and int(now.rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
-def let_go() -> None:
-    """On a worker: let go of the model that an earlier job of another operator left in this process."""
-    sys.modules.pop("_tempora_pieces", None)
-
-
 def by_few(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
     for b in batches:

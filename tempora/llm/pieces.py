@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_few, materialize, ship, small_batches
+from tempora.llm.common import by_few, materialize, ship
 
 ship(__name__)
 
@@ -32,7 +32,7 @@ SCALE = 1 << 16
 #: A cost is (negative log probability) << TIE, plus a number that depends on where pieces end: equal scores are told
 #: apart by it, in the same way however a text is split.
 TIE = 44
-REMEMBERED = 150_000  # units that a worker remembers, of the latest twice as many at most
+REMEMBERED = 100_000  # units that a worker remembers, of the latest twice as many at most
 BLOCK = 64  # chunks whose matrices are combined in one step
 
 #: No piece joins Latin letters to anything but blanks before them, goes on after a blank or holds a line end: a unit
@@ -270,7 +270,6 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
     and score 0. Null keys and repeated rows come back row by row, an empty table gives none; only the two named
     columns are read. `model` is a file that every worker can open.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     long = F.coalesce(F.length("_text"), F.lit(0)) >= chunk
