@@ -12,7 +12,7 @@ from tempora.functions.temporal import at_time, start_of_day, to_utc
 from tempora.operators.asof import asof_join_many
 from tempora.plans.features import DEFAULT_FEATURES, features_as_of
 from tempora.plans.simulation import SimulationConfig, simulate
-from tempora.plans.strategy import StrategyConfig, target_weights
+from tempora.plans.strategy import StrategyConfig, held_weights, target_weights
 from tempora.session import stored
 
 DEFAULT_UNIVERSE = ("AAPL", "MSFT", "NVDA", "META", "GOOGL")
@@ -98,8 +98,8 @@ def run_comparison(
     b = stored(corrected_features(observations, raw, splits, names, corrected_views))
     wa, wb = target_weights(a, strategy), target_weights(b, strategy)
     return Comparison(
-        Arm(a, wa, simulate(wa, simulation_prices(a), simulation)),
-        Arm(b, wb, simulate(wb, simulation_prices(b), simulation, None if raw_is_preadjusted else splits)),
+        Arm(a, wa, simulate(held_weights(a, strategy), simulation_prices(a), simulation, within=wa)),
+        Arm(b, wb, simulate(held_weights(b, strategy), simulation_prices(b), simulation, None if raw_is_preadjusted else splits, within=wb)),
     )
 
 

@@ -92,3 +92,15 @@ def target_weights(features: DataFrame, config: StrategyConfig | None = None, *,
             rows = rows.withColumn("weight", F.coalesce(F.last(F.nullif(F.col("weight"), F.lit(0.0)), ignorenulls=True).over(past), F.lit(0.0)))
         rows = rows.where(day)
     return rows.select("observation_timestamp", "sec_id", "weight")
+
+
+def held_weights(features: DataFrame, config: StrategyConfig | None = None, *, price_column: str | None = None) -> DataFrame:
+    """The rows of `target_weights` that are not 0. In daily mode no more than top_n rows of a time leave a task."""
+    config = config or StrategyConfig()
+    if config.rebalance_frequency == "weekly":
+        return target_weights(features, config, price_column=price_column).where("weight != 0")
+    require(features, {"observation_timestamp", "sec_id", "momentum_20d", "volatility_20d", "sma_50d"}, "features")
+    rows = top_momentum(features, config, price_column=price_column).withColumn("_inv", F.try_divide(F.lit(1.0), F.col("volatility_20d")))
+    total = F.sum("_inv").over(Window.partitionBy("observation_timestamp"))
+    rows = rows.withColumn("weight", F.coalesce(F.try_divide(F.col("_inv"), total), F.lit(0.0)))
+    return rows.select("observation_timestamp", "sec_id", "weight").where("weight != 0")

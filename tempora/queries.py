@@ -510,8 +510,8 @@ FEATURES = f"""{IND}, {ADJ}, {GRID}, wide AS (SELECT a.*, i.momentum_20d, i.vola
         FROM grid g ASOF LEFT JOIN wide w ON g.sec_id = w.sec_id AND g.observation_timestamp >= w.known_from)"""
 
 
-def feats(spark, sf) -> DataFrame:
-    return feature_plans.features_as_of(grid(spark, sf), prices=bars(spark, sf), splits=splits(spark, sf))
+def feats(spark, sf, names=feature_plans.DEFAULT_FEATURES) -> DataFrame:
+    return feature_plans.features_as_of(grid(spark, sf), names, prices=bars(spark, sf), splits=splits(spark, sf))
 
 
 @query(f"WITH {FEATURES} SELECT sec_id, observation_timestamp, round(adj_close, 4) AS adj_close, {_shown(['momentum_20d', 'volatility_20d', 'sma_50d', 'ema_50d'])} FROM feats")
@@ -588,9 +588,13 @@ def parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return w, r, simulation.drifted_weights(w, r)
 
 
+#: What the strategy and the simulation read.
+TRADED = ("adj_close", "momentum_20d", "volatility_20d", "sma_50d")
+
+
 def sim(spark, sf, config: simulation.SimulationConfig | None = None, features: DataFrame | None = None) -> DataFrame:
-    f = features or stored(feats(spark, sf))
-    return simulation.simulate(strategy.target_weights(f), runner.simulation_prices(f), config, splits(spark, sf))
+    f = features or stored(feats(spark, sf, TRADED))
+    return simulation.simulate(strategy.held_weights(f), runner.simulation_prices(f), config, splits(spark, sf), within=f)
 
 
 @query(f"WITH {SIM} SELECT observation_timestamp, next_timestamp, sec_id, round(asset_return, 8) AS asset_return FROM rets")
@@ -610,8 +614,8 @@ def gross_return(spark, sf):
 
 @query(f"WITH {SIM} SELECT observation_timestamp, round(turnover, 8) AS turnover FROM turn")
 def turnover(spark, sf):
-    w, _, d = parts(spark, sf)
-    return rounded(simulation.turnover_of(w, d), 8, "turnover")
+    f = stored(feats(spark, sf, TRADED))
+    return rounded(simulation.turnovers(strategy.held_weights(f), runner.simulation_prices(f), "price", splits(spark, sf), within=f), 8, "turnover")
 
 
 SHOWN = "observation_timestamp, round(gross_return, 8) AS gross_return, round(turnover, 8) AS turnover, round(cost, 8) AS cost, round(net_return, 8) AS net_return"
@@ -658,7 +662,7 @@ DELTAS = ", ".join(f"CASE WHEN abs(m.{n} - m0.{n}) < 1e-12 THEN 0.0 ELSE CAST(pr
 @query(f"WITH {SIM}, {FREE}, m AS ({METRICS}), m0 AS ({METRICS.replace('FROM dd)', 'FROM dd0)')}) SELECT {DELTAS} FROM m, m0")
 def tear_sheet_delta(spark, sf):
     """The metrics with costs less those of an arm that trades for nothing."""
-    f = stored(feats(spark, sf))
+    f = stored(feats(spark, sf, TRADED))
     sheet = metrics.tear_sheet(sim(spark, sf, simulation.SimulationConfig(0.0), f), sim(spark, sf, None, f))
     row = tuple(v if v is None else 0.0 if abs(v) < 1e-12 else float(f"{v:.5e}") for v in sheet.delta.as_dict().values())
     return spark.createDataFrame([row], ", ".join(f"{n} double" for n in metrics.NAMES))

@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 from datetime import date, datetime, timedelta
 
@@ -336,3 +337,47 @@ def test_metrics_without_a_value(spark):
     assert flat.sharpe_ratio is None and flat.profit_factor is None and flat.calmar_ratio is None and flat.max_drawdown == 0.0
     odd = of((0.1, 1.1, 0.5), (float("inf"), float("inf"), 0.5), (0.1, 1.0, 0.5))
     assert odd.cumulative_return is None and odd.annualized_volatility is None and odd.win_rate is None and odd.mean_turnover == 0.5
+
+
+def test_simulation_of_what_is_held_equals_that_of_all_rows(spark):
+    """Against the plain joins over all rows: gaps, missing and zero prices, times without holdings, more times than bits."""
+    rng = random.Random(5)
+    times = [D(2024, 1, 1) + timedelta(days=i) for i in range(150)]
+    w, p = [], []
+    for t in times:
+        held = rng.sample("ABCDEFGH", 2) if rng.random() < 0.6 else []
+        w += [(t, s, 0.5 if s in held else 0.0) for s in "ABCDEFGH" if rng.random() < 0.9 or t in (times[3], times[-1])]
+        p += [(t, s, rng.choice([0.0, None, 5.0, 6.0, 7.0, 8.0])) for s in "ABCDEFGH" if rng.random() < 0.5 and t != times[70]]
+    w = spark.createDataFrame(w, "observation_timestamp timestamp_ntz, sec_id string, weight double")
+    p = spark.createDataFrame(p, "observation_timestamp timestamp_ntz, sec_id string, price double")
+    splits = spark.createDataFrame([(s, (times[0] + timedelta(days=40)).date(), 2.0, times[0]) for s in "ABCD"], "sec_id string, ex_date date, split_ratio double, known_from timestamp_ntz")
+    drifted = simulation.drifted_weights(w, simulation.period_returns(p, simulation.next_times(w), "price", splits))
+    turned = simulation.turnover_of(w, drifted)
+    plain = {r.observation_timestamp: (r.gross_return, r.turnover) for r in simulation.gross_returns(drifted).join(turned, "observation_timestamp", "left").collect()}
+    same = lambda a, b: a.keys() == b.keys() and all(a[t] == pytest.approx(b[t]) for t in a)
+    listed = w.where("weight > 0")
+    for sim in (simulation.simulate(w, p, splits=splits), simulation.simulate(listed, p, splits=splits, within=w)):
+        assert same({r.observation_timestamp: (r.gross_return, r.turnover) for r in sim.collect()}, plain)
+    assert same(dict(simulation.turnovers(listed, p, splits=splits, within=w).collect()), dict(turned.collect()))
+    for a, b in ((w.union(w.where("weight = 0").limit(1)), p), (w, p.union(p.where("sec_id = 'H'").limit(1)))):
+        with pytest.raises(Exception, match="twice"):
+            simulation.simulate(listed, b, within=a).collect()
+
+
+def test_simulation_deals_out_held_rows_only(spark, sf):
+    """All features are read, but none of their rows enters a shuffle."""
+    from tempora import queries
+
+    seen = []
+    whole = simulation.turnover_of
+
+    def turnover_of(weights, drifted):
+        seen.append((weights.count(), drifted.count()))
+        return whole(weights, drifted)
+
+    simulation.turnover_of = turnover_of
+    try:
+        n = queries.QUERIES["turnover"](spark, sf).count()
+    finally:
+        simulation.turnover_of = whole
+    assert seen and max(seen[0]) <= 20 * n  # ten are held at a time, and ten were the time before
