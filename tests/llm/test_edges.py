@@ -79,6 +79,27 @@ def test_repeated_windows_are_covered(docs_of, prose, n):
     assert wanted > 20 and covered >= 0.98 * wanted
 
 
+def test_holders_of_a_seed_hide_no_exact_passage(docs_of, prose):
+    """Documents before and behind the only other holder hold runs of 44 words of it, from different places."""
+    shared = prose(7000, 60).split()
+    slices = [(i, prose(7100 + i, 30) + " " + " ".join(shared[at : at + 44]) + " " + prose(7200 + i, 30)) for i, at in enumerate((0, 4, 8, 12, 16))]
+    middle = (50, prose(7300, 20) + " " + " ".join(shared) + " " + prose(7301, 20))
+    rows = [*slices, middle, *[(60 + i, t) for i, t in slices], (90, prose(7400, 10) + " " + " ".join(shared))]
+    got = {r.doc_id: r for r in passages.find_passages(docs_of(rows)).collect()}
+    assert 90 in got and (got[90].start_word, got[90].end_word, got[90].sources) == (10, 70, [50]) and got[90].identity == 1.0
+
+
+def test_windows_that_cross_the_end_of_a_run():
+    rng = np.random.default_rng(4)
+    d = rng.integers(-99, 99, 140).astype(np.int32)
+    a = np.concatenate([rng.integers(100, 200, 30), d[20:65], rng.integers(200, 300, 30)]).astype(np.int32)
+    at, hashes = passages.crossing(d, a, [(30, 40)])
+    assert at.tolist() == [p for p in range(10, 26) if any(20 <= p + i and p + i + 40 <= 65 for i in range(11))] and len(set(hashes.tolist())) == len(at)
+    again, same = passages.crossing(np.concatenate([[7] * 3, d]).astype(np.int32), a, [(33, 40)])
+    assert again.tolist() == (at + 3).tolist() and same.tolist() == hashes.tolist()
+    assert not len(passages.crossing(d, d.copy(), [(3, 3)])[0]) and not len(passages.crossing(d[:40], a, [(30, 40)])[0])
+
+
 def test_passages_do_not_depend_on_the_order_of_rows(docs_of, prose):
     rows = [(7, prose(1, 80) + " " + prose(2, 30)), (7, prose(3, 20) + " " + prose(1, 80)), (8, prose(1, 80)), (None, prose(1, 60)), *[(9, prose(4, 70))] * 2]
     show = lambda df: sorted(map(repr, passages.find_passages(df).collect()))
