@@ -276,7 +276,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in by_few(batches):
+        for b in by_few(batches, pieces=True):
             got, same = [], []
             for t in b.column(1).to_pylist():
                 s = normalise(t)
@@ -294,20 +294,20 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in by_few(batches):
+        for b in by_few(batches, pieces=True):
             for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, s, n, rel in split(normalise(t), chunk, pieces.width):
                     yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k]), pa.array([s]), pa.array([n]), pa.array([rel])], ["_row", "k", "s", "n", "rel"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in by_few(batches):
+        for b in by_few(batches, pieces=True):
             made = [pickle.dumps(transfer(pieces, s, n, rel)) for s, n, rel in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["_row", "k", "m"])
 
     def by_group(batches: Iterator[pa.RecordBatch], made: Callable[[list[tuple]], list[tuple]], kinds: list[tuple[str, pa.DataType]], keys: int) -> Iterator[pa.RecordBatch]:
         """What `made` makes of each group of rows that agree in their first columns."""
-        rows = (r for b in by_few(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows = (r for b in by_few(batches, pieces=True) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for _, group in groupby(rows, key=lambda r: r[:keys]):
             columns = zip(*made(list(group)), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
@@ -337,7 +337,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in by_few(batches):
+        for b in by_few(batches, pieces=True):
             ids, same, costs = [], [], []
             for s, n, rel, i, j in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5, 6)), strict=True):
                 ids.append(trace(pieces, s, n, rel, i, j))
@@ -384,7 +384,7 @@ def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
-        for b in by_few(batches):
+        for b in by_few(batches, pieces=True):
             texts = [None if x is None else restore(pieces.decode(np.array(x, np.int32).tobytes())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_key", "text"])
 
