@@ -83,6 +83,7 @@ class Pieces:
         self.single = {c for c, node in self.trie.items() if "" in node}
         self.known: dict[str, tuple[int, bytes]] = {}
         self.older: dict[str, tuple[int, bytes]] = {}
+        self.faulty = 0  # units met so far whose ids do not decode to them; they are not remembered
 
     def forward(self, s: str, a: int, rel: int, n: int, stop: int) -> tuple[list[int | None], list]:
         """Least costs from position a of s, and how they are reached; pieces start before n and end by `stop`.
@@ -127,6 +128,9 @@ class Pieces:
         if (got := self.known.get(u)) is None:
             if (got := self.older.get(u)) is None:
                 got = self.span(u, 0, len(u), 0, len(u))
+                if self.decode(got[1]) != u:
+                    self.faulty += 1
+                    return got
             if len(u) <= 48:
                 if len(self.known) >= REMEMBERED:
                     self.known, self.older = {}, self.known
@@ -139,6 +143,12 @@ class Pieces:
         got = [known(u) or unit(u) for u in _UNIT.findall(s)]
         return sum([g[0] for g in got]), b"".join([g[1] for g in got])
 
+    def checked(self, s: str) -> tuple[int, bytes, bool]:
+        """(cost, ids, whether the ids decode to the text): they do if those of every unit do; else it is tried."""
+        before = self.faulty
+        cost, ids = self.encode(s)
+        return cost, ids, self.faulty == before or self.decode(ids) == s
+
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
         return b"".join([table[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode("utf-8", "replace")
@@ -277,13 +287,9 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mo
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for b in by_few(batches, pieces=True):
-            got, same = [], []
-            for t in b.column(1).to_pylist():
-                s = normalise(t)
-                got.append(pieces.encode(s))
-                same.append(pieces.decode(got[-1][1]) == s)
+            got = [pieces.checked(normalise(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), _ids([i for _, i in got]), pa.array([-_cost(c) for c, _ in got], pa.float64()), pa.array(same, pa.bool_())], ["_key", "ids", "score", "round_trip"]
+                [b.column(0), _ids([i for _, i, _ in got]), pa.array([-_cost(c) for c, _, _ in got], pa.float64()), pa.array([r for *_, r in got], pa.bool_())], ["_key", "ids", "score", "round_trip"]
             )
 
     out = f"_key {kind}, ids array<int>, score double, round_trip boolean"

@@ -106,6 +106,22 @@ def test_passages_do_not_depend_on_the_order_of_rows(docs_of, prose):
     assert show(docs_of(rows)) == show(docs_of(rows[::-1])) == show(docs_of(rows).repartition(5)) and len(show(docs_of(rows))) == 4
 
 
+def test_round_trips_by_units(monkeypatch):
+    """Texts are decoded as a whole only where a unit's own ids do not decode to it."""
+    p = pieces.Pieces(pieces.MODEL)
+    decoded = []
+    whole = p.decode
+    monkeypatch.setattr(p, "decode", lambda ids: decoded.append(len(ids)) or whole(ids))
+    for t in ("", "the cat sat  on the mat\n", "naïve 中文 🙂 " * 9, "x\ud800y the cat", "literal ▁ blank", "\x00\t", "w" * 60 + " " + "z" * 60):
+        s = pieces.normalise(t)
+        for _ in range(2):
+            cost, ids, same = p.checked(s)
+            assert (cost, ids) == p.encode(s) and same == (whole(ids) == s)
+    p.checked(s := pieces.normalise("the cat sat on the mat"))
+    decoded.clear()
+    assert p.checked(s)[2] and not decoded
+
+
 def test_cutting_overlapping_ranges(docs_of, spark):
     words = " ".join(f"w{i}" for i in range(20))
     docs = with_clashes(docs_of([(1, words), (2, None), (None, words)]))
