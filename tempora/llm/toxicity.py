@@ -31,6 +31,8 @@ BUCKETS = (1 << 12, 1 << 16, 1 << 18, 1 << 19)
 BACKOFF = 6.0
 #: Costs and readings that a worker remembers; beyond it the memory starts anew. It bounds memory, not results.
 REMEMBERED = 100_000
+#: Characters whose n-grams are counted at a time. It bounds memory, not results.
+STRETCH = 1 << 16
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,6 +59,20 @@ def _ngrams(cp: np.ndarray, order: int) -> np.ndarray:
     return (h % np.uint64(BUCKETS[order - 1])).astype(np.int64)
 
 
+def add_ngrams(texts: list[str], total: list[np.ndarray], stretch: int = STRETCH) -> None:
+    """Add the n-grams of texts to `total`, those that begin in one stretch at a time.
+
+    Each text has three line ends around it, so no n-gram spans two: counts depend neither on neighbours nor stretches.
+    """
+    whole = "".join([x for t in texts for x in ("\n\n\n", t)]).lower()
+    size, whole = len(whole), whole + "\n\n\n"
+    for at in range(0, size, stretch):
+        n = min(stretch, size - at)
+        cp = _folded(whole[at : at + n + 3])
+        for k in range(4):
+            np.add.at(total[k], _ngrams(cp[: n + k], k + 1), 1)
+
+
 def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(cell, n): counts of character n-grams over all documents; summed per task before the shuffle."""
     base = np.concatenate([[0], np.cumsum(BUCKETS)])
@@ -64,12 +80,7 @@ def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(b, np.int64) for b in BUCKETS]
         for b in by_few(batches):
-            whole = "\n".join(t for t in b.column(0).to_pylist() if t)
-            for at in range(0, len(whole), 1 << 20):
-                cp = _folded("\n" + whole[at : at + (1 << 20)] + "\n")
-                for k in range(4):
-                    if len(cp) > k:
-                        total[k] += np.bincount(_ngrams(cp, k + 1), minlength=BUCKETS[k])
+            add_ngrams([t for t in b.column(0).to_pylist() if t], total)
         cells = [np.flatnonzero(t) for t in total]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([c + base[k] for k, c in enumerate(cells)])), pa.array(np.concatenate([total[k][c] for k, c in enumerate(cells)]))], ["cell", "n"]

@@ -32,6 +32,17 @@ def test_without_compares_keys_and_keeps_columns(spark):
     assert common.without(rows, dropped.limit(0), {"k": F.col("doc_id"), "t": F.col("text")}).count() == 6
 
 
+def test_intermediate_tables_are_written_in_small_arrow_batches(spark):
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(80, numPartitions=1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
+    sizes = common.materialize(rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in batches), "n long, size long")).collect()
+    assert sum(r.n for r in sizes) == 80 and max(r.size for r in sizes) < 6_000_000
+    assert spark.conf.get(name) == before
+
+
 # ---- substring dedup ------------------------------------------------------------------------------------------------
 
 
@@ -393,3 +404,18 @@ def test_scores_against_a_plain_scorer(docs_of, spark, prose):
         s = max([bias + sum(w for w, _ in found), *(alone for _, alone in found)])
         assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, s))))), i
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_ngrams_of_a_text_depend_on_nothing_beside_it(docs_of, prose):
+    """Counts of long and short texts, in one partition and in many, against those of each text alone."""
+    rows = [(1, (prose(7, 4000) + " Äpfel ") * 40), (2, "a"), (3, ""), (4, None), *((i, prose(500 + i, 5).title()) for i in range(5, 300))]
+    assert len(rows[0][1]) > 1 << 20
+    plain = np.zeros(sum(toxicity.BUCKETS), np.int64)
+    base = np.concatenate([[0], np.cumsum(toxicity.BUCKETS)])
+    for _, t in rows:
+        for k in range(4 if t else 0):
+            cp = toxicity._folded("\n\n\n" + t + "\n" * k)
+            plain[base[k] : base[k + 1]] += np.bincount(toxicity._ngrams(cp, k + 1), minlength=toxicity.BUCKETS[k])
+    for docs in (docs_of(rows).coalesce(1), docs_of(rows).repartition(5)):
+        got = {r.cell: r.n for r in toxicity.ngram_counts(docs).collect()}
+        assert got == {int(c): int(plain[c]) for c in np.flatnonzero(plain)}
